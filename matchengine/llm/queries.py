@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matchengine.llm.mixing import op5_mixing
 from matchengine.llm.quality import op10_quality_rules
+from matchengine.llm.token_counts import op1_token_counts
+from matchengine.llm.token_store import op9_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_quality_rules": op10_quality_rules,
+    f.__name__: f
+    for f in (op1_token_counts, op5_mixing, op9_token_ids, op10_quality_rules)
 }
 ORACLE_SQL: dict[str, str] = {}
