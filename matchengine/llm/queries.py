@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matchengine.llm.bpe_chunks import op4_bpe
 from matchengine.llm.mixing import op5_mixing
 from matchengine.llm.quality import op10_quality_rules
 from matchengine.llm.token_counts import op1_token_counts
@@ -13,6 +14,6 @@ from matchengine.llm.token_store import op9_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op5_mixing, op9_token_ids, op10_quality_rules)
+    for f in (op1_token_counts, op4_bpe, op5_mixing, op9_token_ids, op10_quality_rules)
 }
 ORACLE_SQL: dict[str, str] = {}
