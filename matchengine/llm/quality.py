@@ -57,7 +57,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, buckets: int = 16384, alpha: floa
     The driver gets ``buckets`` numbers, whatever the corpus's size. slack: how far, in nats a gram, a document may lie
     below the trusted mean. prior: grams of ratio zero added to each document, so that few words can't condemn.
     """
-    trusted = labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("_id")).distinct()
+    trusted = labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("_id")).distinct().hint("merge")
     marked = docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_id"), "left").withColumn("_t", F.col("_id").isNotNull().cast("long"))
     grams = hashed(marked).select("_t", F.explode(F.concat("_h1", "_h2")).alias("_g"))
     counts = grams.groupBy(F.pmod("_g", F.lit(buckets)).alias("bucket")).agg(F.count("*").alias("raw"), F.sum("_t").alias("good"))
