@@ -10,11 +10,12 @@ from matchengine.llm.bpe_chunks import op4_bpe
 from matchengine.llm.mixing import op5_mixing
 from matchengine.llm.quality import op10_quality_rules
 from matchengine.llm.simhash import op2_simhash
+from matchengine.llm.suffix_dedup import op7_suffix_dedup
 from matchengine.llm.token_counts import op1_token_counts
 from matchengine.llm.token_store import op9_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_simhash, op4_bpe, op5_mixing, op9_token_ids, op10_quality_rules)
+    for f in (op1_token_counts, op2_simhash, op4_bpe, op5_mixing, op7_suffix_dedup, op9_token_ids, op10_quality_rules)
 }
 ORACLE_SQL: dict[str, str] = {}
