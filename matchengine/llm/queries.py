@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from matchengine.llm.bpe_chunks import op4_bpe
+from matchengine.llm.kneser_ney import op8_lm_score
 from matchengine.llm.mixing import op5_mixing
 from matchengine.llm.quality import op10_quality_rules
 from matchengine.llm.simhash import op2_simhash
@@ -16,6 +17,6 @@ from matchengine.llm.token_store import op9_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_simhash, op4_bpe, op5_mixing, op7_suffix_dedup, op9_token_ids, op10_quality_rules)
+    for f in (op1_token_counts, op2_simhash, op4_bpe, op5_mixing, op7_suffix_dedup, op8_lm_score, op9_token_ids, op10_quality_rules)
 }
 ORACLE_SQL: dict[str, str] = {}
