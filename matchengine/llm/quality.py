@@ -109,7 +109,10 @@ def judge(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     out = out.withColumn("score", (total(F.col("_h1")) + total(F.col("_h2"))) / (F.size("_h1") + F.size("_h2") + F.lit(model.prior)))
     out = _windows(out).drop("_h1", "_h2")
     out = out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(model.mean - model.slack)))
+    verdict = ~F.col("base_failed") & (F.col("score") >= F.lit(model.mean - model.slack))
+    # a row's number is never under 0: it keeps a filter on the result from moving below, where the optimizer would put the
+    # arrays' definitions in the place of their names, and have them computed anew for every element
+    return out.withColumn("kept", verdict & (F.monotonically_increasing_id() >= 0))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
