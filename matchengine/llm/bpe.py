@@ -8,6 +8,7 @@ Arrow; the tokenizers library sees each distinct word once for as long as the bo
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,10 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 WIDE_SPACE = "\\x1c-\\x1f\\x85\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 IRREGULAR = f"[ ][\\t-\\r {WIDE_SPACE}]|[ ]$"
-MEMORY = 250_000  # words
+MEMORY = 300_000  # words
+# the characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
 STEP = 6_000_000  # bytes of text worked on at a time
 
 
@@ -44,22 +48,56 @@ def pieces(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, p
 
 
 class WordTable:
-    """Token ids of words; forgets all when it holds more than MEMORY words."""
+    """Token ids of words. What was not asked for while MEMORY new words came is forgotten."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = tokenizer(path), {}
+        self.tokenizer, self.young, self.old = tokenizer(path), {}, {}
+        self.model, self.marks = self.tokenizer.model, {}
+        probe = [" the", "a", " élan,", " Zürich", "word.", " \u0101b!"]
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]
+        self.plain = [self._pieces(w) for w in probe] == whole  # a byte-level tokenizer that parts letters from marks
+
+    def _pieces(self, word: str) -> list[int] | None:
+        """Ids of a word of letters, or of letters and one mark: a call of the library's model for each piece spares its
+        search for the pieces. None of any other word, and of letters beyond the Latin ones."""
+        body = word[1:] if word[:1] == " " else word
+        if not body or max(body) >= "\u0250":
+            return None
+        if body.isalpha():
+            return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTES))]
+        mark = body[-1]
+        if body[:-1].isalpha() and not mark.isalnum() and not mark.isspace() and mark >= " ":
+            if mark not in self.marks:
+                self.marks[mark] = [t.id for t in self.model.tokenize(mark.encode().decode("latin-1").translate(BYTES))]
+            return [t.id for t in self.model.tokenize(word[:-1].encode().decode("latin-1").translate(BYTES))] + self.marks[mark]
+        return None
+
+    def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        rest = []
+        for w in words:
+            ids = self._pieces(w) if self.plain else None
+            if ids is None:
+                rest.append(w)
+            else:
+                yield w, array("I", ids).tobytes()
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                yield w, array("I", e.ids).tobytes()
 
     def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, all ids)."""
-        if len(self.known) > MEMORY:
-            self.known = {}
-        known = self.known
-        new = [w for w in words if w not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        found = [known[w] for w in words]
+        if len(self.young) > MEMORY:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        young.update(self._encode(new))
+        found = [young[w] for w in words]
         return np.fromiter(map(len, found), np.int64, len(found)) // 4, np.frombuffer(b"".join(found), "<u4")
 
 
@@ -84,7 +122,8 @@ class ByteEncoder:
         offsets = offsets - offsets[0]
         heads = pc.take(words, pa.array(offsets[:-1])).dictionary_encode()
         tails = words.dictionary_encode()
-        names = [" " + w for w in tails.dictionary.to_pylist()] + heads.dictionary.to_pylist()
+        joined = pc.binary_join_element_wise(" ", tails.dictionary, "")
+        names = joined.to_numpy(zero_copy_only=False).tolist() + heads.dictionary.to_pylist()
         which = tails.indices.to_numpy().astype(np.int64)
         which[offsets[:-1]] = heads.indices.to_numpy() + len(tails.dictionary)
         lengths, flat = self.table.ids(names)

@@ -28,7 +28,7 @@ from matchengine.llm.store import materialise
 LENGTH = 200
 K = 24
 SHALLOW = 3  # characters of eight bytes sorted before the tries
-CROWDED = 1000  # different segments of an anchor, beyond which its windows meet by hash
+CROWDED = 8000  # different segments of an anchor (1.4 million suffixes), beyond which its windows meet by hash
 BLOCK = 400_000  # suffixes sorted at a time, or one anchor's
 MIX = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
