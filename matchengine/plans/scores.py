@@ -35,10 +35,10 @@ def i_experience(spark, d):
     return rows(spark, d).select("id", r6(s).alias("score"), sig.alias("signal"))
 
 
-@query("i_skill_weights", f"select id, array_to_string(list_transform(req, lambda s: case when s = 'red' then 3.0 when s = 'bolt' then 0.25 else 1.0 end), ',') as weights from {PAIRS}")
+@query("i_skill_weights", f"select id, array_to_string(list_transform(req, lambda s: case when s = 'red' then '3.0' when s = 'bolt' then '0.25' else '1.0' end), ',') as weights from {PAIRS}")
 def i_skill_weights(spark, d):
     w = scoring.skill_weights(F.col("req"), F.array(F.lit("red")), F.array(F.lit("bolt")))
-    return rows(spark, d).select("id", F.array_join(F.transform(w, lambda x: F.format_number(x, "0.0#")), ",").alias("weights"))
+    return rows(spark, d).select("id", F.array_join(F.transform(w, lambda x: x.cast("string")), ",").alias("weights"))
 
 
 COVER = "((case when list_contains(cv, 'red') then 3.0 else 0 end + case when list_contains(cv, 'widget') then 1.0 else 0 end + case when list_contains(cv, 'bolt') then 0.25 else 0 end) / 4.25)"
@@ -135,7 +135,7 @@ def i_domain_label(spark, d):
     return rows(spark, d).select("id", scoring.domain_label(job, F.col("p_brand")).alias("domain"))
 
 
-@query("i_weights", "select p_partkey, case p_size % 3 when 0 then 0.20 when 1 then 0.35 else 0.12 end as experience from part")
+@query("i_weights", "select p_partkey, cast(case p_size % 3 when 0 then 0.20 when 1 then 0.35 else 0.12 end as double) as experience from part")
 def i_weights(spark, d):
     name = F.expr("case p_size % 3 when 0 then 'unknown' when 1 then 'priorite_experience' else 'priorite_mots_cles' end")
     return table(spark, d, "part").select("p_partkey", scoring.profile_weights(name)["experience"].alias("experience"))
