@@ -51,7 +51,10 @@ def section_of(line: Column, sections: dict[str, str] | None = None) -> Column:
         both = t.rlike(r"\b(formations?|diplomes?)\b.*\bcertifications?\b")
         return F.when(F.size(F.split(t, " ")) <= 6, F.when(both & whole.isNull(), F.lit("education")).otherwise(whole))
 
-    return F.element_at(F.transform(F.array(form(line)), lambda t: F.when(t != "", told(t))), 1)
+    # letter by letter, a possessive runs into the name behind it
+    parted = F.when(unspaced(line) != line, F.regexp_replace(form(line), r"^(mes|ma|mon|nos|notre)(?=[a-z]{4})", ""))
+    heads = F.transform(F.array(form(line), parted), lambda t: F.when(t != "", told(t)))
+    return F.element_at(F.concat(F.filter(heads, lambda x: x.isNotNull()), F.array(F.lit(None).cast("string"))), 1)
 
 
 def carry(heads: DataFrame, id_: str = "doc_id") -> DataFrame:

@@ -104,10 +104,10 @@ def h_domain(spark, d):
     return docs(spark, d).select("doc_id", fields.domain(F.col("text"), POINTS, ORDER).alias("domain"))
 
 
-@query("h_domain_default", "select doc_id, 'general' as domain from documents where false")
+@query("h_domain_default", "select doc_id, 'general' as domain from documents")
 def h_domain_default(spark, d):
-    """Documents of invented words that the fixed signals still claim; the corpus has none."""
-    return docs(spark, d).select("doc_id", fields.domain(F.col("text")).alias("domain")).filter("domain <> 'general'")
+    """The fixed signals, none of which a corpus of invented words has."""
+    return docs(spark, d).select("doc_id", fields.domain(F.col("text")).alias("domain"))
 
 
 @query("h_lang", f"select doc_id, array_to_string(list_filter([case when regexp_matches({FOLD('text')}, '\\bfrancais\\b|\\bfrench\\b') then 'français' end, case when regexp_matches({FOLD('text')}, '\\banglais\\b|\\benglish\\b|\\bbilingue anglais\\b') then 'anglais' end], lambda x: x is not null), ',') as languages from documents")
@@ -243,7 +243,7 @@ def a_column_order(spark, d):
     return files.reading_order(l).select("doc_id", F.length("text").alias("n_chars"))
 
 
-@query("a_markdown_sections", "select conv_id as doc_id, role as heading, string_agg(trim(text), chr(10) || chr(10) order by turn) as body from conversations where false group by 1, 2")
+@query("a_markdown_sections", "select conv_id as doc_id, role as heading, trim(text) as body from conversations")
 def a_markdown_sections(spark, d):
     c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.lit("# "), "role", F.lit("\n"), "text").alias("t")))), lambda s: s["t"]), "\n").alias("text"))
-    return files.markdown_sections(c).filter("heading is null and body <> ''").select("doc_id", "heading", "body")
+    return files.markdown_sections(c).filter("heading is not null").select("doc_id", "heading", "body")
