@@ -230,7 +230,8 @@ def tag(text: str) -> Column:
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, tag, spans): for each text with repeats, the runs (lo, hi) of window starts that repeat."""
     keyed = _key(docs)
-    twice = segments(keyed, length, False).groupBy("kmer").agg(F.count("*").alias("n")).filter("n > 1").select("kmer")
+    # written first: Spark splits a hot anchor's rows in a join only where no aggregate stands between shuffle and join
+    twice = materialise(segments(keyed, length, False).groupBy("kmer").agg(F.count("*").alias("n")).filter("n > 1").select("kmer"), "anchors")
     found = materialise(segments(keyed, length, True).join(twice, "kmer", "left_semi"), "segments")
     kinds = found.groupBy("kmer", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tag", "lo", "hi")).alias("one"))
     kinds = materialise(kinds, "kinds")
