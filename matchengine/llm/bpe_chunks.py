@@ -205,6 +205,13 @@ class ChunkEncoder:
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
+def encoder(path: str) -> ChunkEncoder:
+    """One a worker process. Named by a nested function, _ENCODERS itself would be sent, empty, with every task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ChunkEncoder(path)
+    return _ENCODERS[path]
+
+
 def clustered(docs: DataFrame) -> DataFrame:
     """(doc_id, text, nearby): dealt out by the smallest hash of a text's chunks."""
 
@@ -228,11 +235,9 @@ def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens and ids (array), decoded (text); with digests their SHA-256 instead."""
 
     def run(batches):
-        if path not in _ENCODERS:
-            _ENCODERS[path] = ChunkEncoder(path)
         for batch in batches:
             for rows, texts in pieces(batch, "text"):
-                done = _ENCODERS[path](texts)
+                done = encoder(path)(texts)
                 if digests:
                     ids, decoded = ([hashlib.sha256(d[k].encode()).hexdigest() for d in done] for k in (0, 1))
                     columns = [pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
