@@ -166,6 +166,18 @@ def links(distinct: DataFrame) -> DataFrame:
     return rows.repartition("bucket").sortWithinPartitions("bucket").select("bucket", "fp", "rep").mapInArrow(compare, "a long, b long")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with ``row``, a hash of all their columns; only wholly equal rows share it."""
+    return docs.withColumn("row", F.xxhash64(*docs.columns, *[F.col(f"`{c}`").isNull() for c in docs.columns]))
+
+
+def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The row of the smallest id of each group, of (row, id, group), with all its columns; null ids come last, and of
+    rows with one id that of the smallest hash is taken. Wholly equal rows give a single one."""
+    keep = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("o")).select(F.col("o.row").alias("row"))
+    return keyed(docs).join(keep, "row", "left_semi").select(*docs.columns).distinct()
+
+
 def groups(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
     prints = materialise(fingerprints(docs, words), "fingerprints")
