@@ -7,7 +7,9 @@ only the links of a spanning forest leave the task. A bucket with very many diff
 of four 8-bit blocks of what its key leaves open, which again loses no link; 65,536 is then the most it can hold.
 
 Defined cases: null and blank texts have fingerprint 0 and are linked like any other; texts under three words are
-one shingle; repeated rows fall together; an empty table gives no rows; other columns are not looked at.
+one shingle; repeated rows fall together; an empty table gives no rows; other columns are not looked at. Rows with a
+null id are linked like any other, and a group of nothing else is kept as one row; rows that share an id but not the
+text are separate rows.
 """
 
 from __future__ import annotations
@@ -171,6 +173,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("row", F.xxhash64(*docs.columns, *[F.col(f"`{c}`").isNull() for c in docs.columns]))
 
 
+def components_of(prints: DataFrame) -> DataFrame:
+    """(fp, group) of the different ``fp``: equal groups are linked. No id takes part, so null ids lose no link."""
+    distinct = materialise(prints.select("fp").distinct(), "fingerprints")
+    found = components(links(distinct.withColumn("rep", F.col("fp"))))
+    return distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("group"))
+
+
+def groups(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach; null if all of them are null."""
+    prints = materialise(fingerprints(docs, words), "fingerprints")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    named = materialise(components_of(prints).join(least, "fp"), "fingerprints")
+    ids = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(ids, "group").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
 def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
     """The row of the smallest id of each group, of (row, id, group), with all its columns; null ids come last, and of
     rows with one id that of the smallest hash is taken. Wholly equal rows give a single one."""
@@ -178,20 +196,13 @@ def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
     return keyed(docs).join(keep, "row", "left_semi").select(*docs.columns).distinct()
 
 
-def groups(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id that links reach."""
-    prints = materialise(fingerprints(docs, words), "fingerprints")
-    distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    found = components(links(distinct))
-    named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
 def deduplicated(docs: DataFrame, words: int = 3) -> DataFrame:
-    """One document of each group, the one with the smallest id, with all its columns; a single row even if repeated."""
-    keep = groups(docs, words).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))))
-    return one.filter("_n = 1").join(keep, F.col("doc_id") == F.col("_id"), "left_semi").drop("_n")
+    """One row of each group. Two texts under one id are two rows, each in its own group."""
+    rows = keyed(docs)
+    prints = materialise(fingerprints(rows.select(F.col("row").alias("doc_id"), "text"), words), "fingerprints")
+    ids = rows.select("row", F.col("doc_id").cast("long").alias("id")).distinct()
+    named = prints.withColumnRenamed("doc_id", "row").distinct().join(components_of(prints), "fp")
+    return one_of_each(docs, named.join(ids, "row").select("row", "id", "group"))
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
