@@ -2,12 +2,14 @@
 
 Every text node has the path of tags from the root to it. A page's nodes are summed by path: text and punctuation for
 each node; the sums are smoothed along the page and fused, and nodes whose fused ratio is high enough are content.
-Elements that never hold an article's text (menus, forms, scripts, adverts and the like, by tag, role or class) are
-out beforehand; where the page marks its article, only that is weighed.
+Elements that never hold an article's text (menus, footers, scripts and the like, by tag) and hidden ones are out
+beforehand. All else is weighed, on every page: an <article> or <main> that holds much of the page's text raises the
+ratios of paragraphs, headings, list items and cells in it, and a class, id or role that speaks of clutter lowers those below it, unless the element holds
+most of the page's text or of that article's. Blocks that are mostly links go.
 
 Defined cases: a null or blank page, and one of markup alone, gives an empty text; unclosed and misnested tags are
-closed as browsers close them; repeated rows give the same; an empty table gives no rows; other columns are kept
-by extracted().
+closed as browsers close them; repeated rows give the same; an
+empty table gives no rows; other columns are kept by extracted().
 """
 
 from __future__ import annotations
@@ -39,41 +41,57 @@ ENDS_P = frozenset(
 )
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption td th".split())
+LEAST = 0.25  # of the mean ratio
+MARKED = 3.0  # factor of PROSE in the page's article, if that has SHARE of its text
+SIGNED = 0.15  # factor below a sign of clutter
+SHARE = 0.4
+MOST = 0.5  # of the text: a sign on what holds more says nothing
+APART = 0.1
+LINKS = 0.6  # share of a block's text in links
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؛،]")
 WORDS = re.compile(r"[a-z]+")
 
 
 class _Page(HTMLParser):
-    """nodes: [path, text, block, in an article, in a link]; out-of-bounds text is not kept."""
+    """nodes: [path, text, block, outermost article, signs above, in a link]; out-of-bounds text is not kept.
+
+    Articles (and mains) and elements with signs are numbered; signs are those of all open elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool]] = []  # tag, whether out of bounds from here on
+        # tag, whether out of bounds from here on, outermost article's number or 0, numbers of signs
+        self.stack: list[tuple[str, bool, int, tuple[int, ...]]] = []
         self.nodes: list[list] = []
         self.block = 0
-        self.names: list[str] = []
+        self.elements = 0
 
-    def _push(self, tag: str, out: bool) -> None:
-        self.stack.append((tag, out or bool(self.stack and self.stack[-1][1])))
+    def _push(self, tag: str, out: bool, sign: bool) -> None:
+        self.elements += 1
+        _, above, article, signs = self.stack[-1] if self.stack else ("", False, 0, ())
+        if not article and not sign and tag in ("article", "main"):
+            article = self.elements
+        self.stack.append((tag, out or above, article, (*signs, self.elements) if sign else signs))
 
     def _pop_to(self, at: int) -> None:
-        if any(t not in INLINE for t, _ in self.stack[at:]):
+        if any(t[0] not in INLINE for t in self.stack[at:]):
             self.block += 1
         del self.stack[at:]
 
-    def _out(self, tag: str, attrs: list) -> bool:
+    def _judge(self, tag: str, attrs: list) -> tuple[bool, bool]:
+        """Whether the element is out of bounds, and whether it has a sign of clutter."""
         if tag in NEVER:
-            return True
+            return True, False
         got = {k: (v or "").lower() for k, v in attrs}
         if "hidden" in got or got.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", got.get("style", "")):
-            return True
+            return True, False
         if tag in ("html", "body", "main") or tag in HEADINGS:
-            return False
+            return False, False
         signs = SIGNS.intersection(WORDS.findall(f"{got.get('class', '')} {got.get('id', '')}"))
         if tag == "article":
-            return bool(signs & {"comment", "comments", "reply"})
-        return bool(signs) or got.get("role") in ROLES
+            return False, bool(signs & {"comment", "comments", "reply"})
+        return False, bool(signs) or got.get("role") in ROLES
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in ENDS_P:
@@ -94,7 +112,7 @@ class _Page(HTMLParser):
         elif tag not in INLINE:
             self.block += 1
         if tag not in VOID:
-            self._push(tag, self._out(tag, attrs))
+            self._push(tag, *self._judge(tag, attrs))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # a slash closes void elements only
@@ -112,10 +130,11 @@ class _Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.stack and self.stack[-1][1]:
             return
-        tags = [t for t, _ in self.stack]
+        tags = [t[0] for t in self.stack]
         head = "header" in tags and not HEADINGS.intersection(tags)
         if not head and not ("header" in tags and "article" not in tags and "main" not in tags):
-            self.nodes.append(["/".join(tags), data, self.block, "article" in tags or "main" in tags, "a" in tags])
+            article, signs = self.stack[-1][2:] if self.stack else (0, ())
+            self.nodes.append(["/".join(tags), data, self.block, article, signs, "a" in tags])
 
 
 def ratios(nodes: list[list]) -> list[float]:
@@ -145,25 +164,40 @@ def main_text(html: str | None) -> str:
     page.feed(html or "")
     page.close()
     nodes = page.nodes
-    marked = [n for n in nodes if n[3]]
-    inside = any(n[1].strip() for n in marked)
-    nodes = marked if inside else nodes
+    sizes = [len("".join(n[1].split())) for n in nodes]
+    whole = sum(sizes)
+    by_article, by_sign, both = defaultdict(int), defaultdict(int), defaultdict(int)
+    for n, size in zip(nodes, sizes, strict=True):
+        by_article[n[3]] += size
+    article = max((a for a in by_article if a), key=by_article.__getitem__, default=0)
+    for n, size in zip(nodes, sizes, strict=True):
+        for e in n[4]:
+            by_sign[e] += size
+            both[e] += size * (n[3] == article != 0)
+
+    def cluttered(e: int) -> bool:
+        if by_sign[e] > MOST * whole:  # a wrapper, unless an article has its text elsewhere, as above long comments
+            return article != 0 and by_article[article] - both[e] >= max(SHARE * (whole - by_sign[e]), APART * whole)
+        return by_article[article] < SHARE * whole or both[e] <= MOST * by_article[article]
+
+    clutter = {e for e in by_sign if cluttered(e)}
+    if by_article[article] < SHARE * sum(s for n, s in zip(nodes, sizes, strict=True) if clutter.isdisjoint(n[4])):
+        article = 0
     fused = ratios(nodes)
-    links, sizes = defaultdict(int), defaultdict(int)
-    for n in nodes:
-        size = len("".join(n[1].split()))
-        sizes[n[2]] += size
-        links[n[2]] += size * n[4]
-    whole = sum(len(n[1]) for n in nodes if n[1].strip())
-    mean = sum(len(n[1]) * f for n, f in zip(nodes, fused, strict=True) if n[1].strip()) / whole if whole else 0.0
-    least = 0.0 if inside else 0.25 * mean  # an article that is marked as such is taken at its word
+    least = LEAST * sum(s * f for s, f in zip(sizes, fused, strict=True)) / whole if whole else 0.0
     best: dict[int, float] = defaultdict(float)
-    for n, f in zip(nodes, fused, strict=True):
-        best[n[2]] = max(best[n[2]], f)
+    links, total = defaultdict(int), defaultdict(int)
+    for n, size, f in zip(nodes, sizes, fused, strict=True):
+        signed = not clutter.isdisjoint(n[4])
+        f *= SIGNED if signed else MARKED if article and n[3] == article and not PROSE.isdisjoint(n[0].split("/")) else 1.0
+        if size:
+            best[n[2]] = max(best[n[2]], f)
+        total[n[2]] += size
+        links[n[2]] += size * n[5]
     blocks: dict[int, list[str]] = {}
     for n in nodes:
         b = n[2]
-        if best[b] >= least and (inside or links[b] <= 0.6 * sizes[b]):
+        if best[b] >= least and links[b] <= LINKS * total[b]:
             blocks.setdefault(b, []).append(n[1])
     return " ".join(t for t in (" ".join("".join(x).split()) for x in blocks.values()) if t)
 
