@@ -4,11 +4,11 @@ Every text node has the path of tags from the root to it. A page's nodes are sum
 each node; the sums are smoothed along the page and fused, and nodes whose fused ratio is high enough are content.
 Elements that never hold an article's text (menus, footers, scripts and the like, by tag) and hidden ones are out
 beforehand. All else is weighed, on every page: an <article> or <main> that holds much of the page's text raises the
-ratios of paragraphs, headings, list items and cells in it, and a class, id or role that speaks of clutter lowers those below it, unless the element holds
+ratios of paragraphs, headings, list items and cells in it, and a class, id or role that speaks of clutter, or a form, lowers those below it, unless the element holds
 most of the page's text or of that article's. Blocks that are mostly links go.
 
 Defined cases: a null or blank page, and one of markup alone, gives an empty text; unclosed and misnested tags are
-closed as browsers close them; repeated rows give the same; an
+closed as browsers close them, <head> by the first tag or text that cannot be in it; repeated rows give the same; an
 empty table gives no rows; other columns are kept by extracted().
 """
 
@@ -28,7 +28,7 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset(
-    "script style noscript template head title nav footer aside form button select option textarea input iframe object svg math canvas audio video map dialog menu".split()
+    "script style noscript template head title nav footer aside button select option textarea input iframe object svg math canvas audio video map dialog menu".split()
 )
 SIGNS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header masthead "
@@ -41,6 +41,7 @@ ENDS_P = frozenset(
 )
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption td th".split())
 LEAST = 0.25  # of the mean ratio
 MARKED = 3.0  # factor of PROSE in the page's article, if that has SHARE of its text
@@ -79,6 +80,12 @@ class _Page(HTMLParser):
             self.block += 1
         del self.stack[at:]
 
+    def _end_head(self) -> None:
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] == "head":
+                self._pop_to(i)
+                return
+
     def _judge(self, tag: str, attrs: list) -> tuple[bool, bool]:
         """Whether the element is out of bounds, and whether it has a sign of clutter."""
         if tag in NEVER:
@@ -91,9 +98,11 @@ class _Page(HTMLParser):
         signs = SIGNS.intersection(WORDS.findall(f"{got.get('class', '')} {got.get('id', '')}"))
         if tag == "article":
             return False, bool(signs & {"comment", "comments", "reply"})
-        return False, bool(signs) or got.get("role") in ROLES
+        return False, tag == "form" or bool(signs) or got.get("role") in ROLES
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD and tag != "head" and self.stack and (self.stack[-1][0] == "head" or tag == "body"):
+            self._end_head()
         if tag in ENDS_P:
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i][0] == "p":
@@ -128,6 +137,8 @@ class _Page(HTMLParser):
             self.block += 1
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self._end_head()
         if self.stack and self.stack[-1][1]:
             return
         tags = [t[0] for t in self.stack]
