@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,21 +114,27 @@ def clean_lines(c: Column | str) -> Column:
     return F.aggregate(lines, start, step, lambda a: a["out"])
 
 
-def chunks(c: Column | str, size: int = 800, most: int = 500) -> Column:
-    """Windows of up to ``size`` characters that end behind the last line end, or else the last blank, in them."""
-    t = _col(c)
-    start = F.struct(F.array().cast("array<string>").alias("out"), t.alias("rest"))
+def chunks(c: Column | str, size: int = 800, most: int | None = None) -> Column:
+    """Windows of up to ``size`` characters that end behind the last line end, or else the last blank, in them, until
+    nothing is left or, if ``most`` is given, after that many windows. Null texts give null."""
 
-    def step(a: Column, _: Column) -> Column:
-        window = F.substring(a["rest"], 1, size)
-        line, blank = (F.lit(size) - F.instr(F.reverse(window), x) + 1 for x in ("\n", " "))
-        full = F.length(a["rest"]) > size
-        at = F.when(~full, F.length(a["rest"])).when(F.instr(window, "\n") > 0, line).when(F.instr(window, " ") > 0, blank).otherwise(F.lit(size))
-        piece = F.trim(F.substring(a["rest"], F.lit(1), at))
-        return F.struct(F.when(piece != "", F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"), F.substring(a["rest"], at + 1, F.length(a["rest"])).alias("rest"))
+    def cut(text: str) -> list[str]:
+        out, at, windows = [], 0, 0
+        while at < len(text) and (most is None or windows < most):
+            end = at + size
+            if end < len(text):
+                end = text.rfind("\n", at, at + size) + 1 or text.rfind(" ", at, at + size) + 1 or at + size
+            piece = text[at:end].strip(" ")
+            if piece:
+                out.append(piece)
+            at, windows = end, windows + 1
+        return out
 
-    steps = F.sequence(F.lit(1), F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(F.length(t) * 2 / size).cast("int") + 1)))
-    return F.aggregate(steps, start, step, lambda a: a["out"])
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if (t := x.as_py()) is None else cut(t) for x in texts], pa.list_(pa.string()))
+
+    return run(_col(c))
 
 
 def first_match(text: Column, patterns: dict[str, str]) -> Column:
