@@ -18,7 +18,11 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 WIDE_SPACE = "\\x1c-\\x1f\\x85\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 IRREGULAR = f"[ ][\\t-\\r {WIDE_SPACE}]|[ ]$"
-MEMORY = 300_000  # words
+MEMORY = 300_000  # words, or pieces of words
+# letters before U+0250, and marks that are neither letters, digits nor white space
+LETTERS = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\x{24f}"
+MARKS = "!-/:-@\\[-`{-~\\xa1-\\xa9\\xab\\xac\\xae-\\xb1\\xb4\\xb6-\\xb8\\xbb\\xbf\\xd7\\xf7"
+PARTS = f"^(?P<a> ?[{LETTERS}]+)(?P<b>[{MARKS}]*)(?:(?P<c>\\n)(?P<d>[{LETTERS}]+)(?P<e>[{MARKS}]*))?$"
 # the characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTES = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
@@ -34,71 +38,103 @@ def tokenizer(path: str):
     return t
 
 
-def pieces(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Runs of rows with about STEP bytes of text; nulls are empty."""
+def pieces(batch: pa.RecordBatch, text: str, step: int = STEP) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Runs of rows with about ``step`` bytes of text; nulls are empty."""
     whole = batch.column(batch.schema.get_field_index(text))
     whole = pc.fill_null(whole.cast(pa.string()), "")
     ends = np.cumsum(pc.binary_length(whole).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + STEP)))
+        to = max(at + 1, int(np.searchsorted(ends, before + step)))
         yield batch.slice(at, to - at), whole.slice(at, to - at)
         at = to
 
 
-class WordTable:
-    """Token ids of words. What was not asked for while MEMORY new words came is forgotten."""
+def _shown(pieces: list[str]) -> list[str]:
+    """Pieces without null characters as byte-level vocabularies write them."""
+    return "\0".join(pieces).encode().decode("latin-1").translate(BYTES).split(BYTES[0]) if pieces else []
+
+
+def _strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()  # several times faster than to_pylist()
+
+
+class PieceTable:
+    """Token ids of pieces of words. Of words of letters, of letters and marks, and of two such parted by a line end,
+    each run of letters or marks and the line end is a piece, which the library's model encodes without searching for
+    it; any other word is one piece, encoded by the whole tokenizer. Beyond MEMORY pieces only those of the last call
+    are kept."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.young, self.old = tokenizer(path), {}, {}
-        self.model, self.marks = self.tokenizer.model, {}
-        probe = [" the", "a", " élan,", " Zürich", "word.", " \u0101b!"]
-        whole = [e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]
-        self.plain = [self._pieces(w) for w in probe] == whole  # a byte-level tokenizer that parts letters from marks
-
-    def _pieces(self, word: str) -> list[int] | None:
-        """Ids of a word of letters, or of letters and one mark: a call of the library's model for each piece spares its
-        search for the pieces. None of any other word, and of letters beyond the Latin ones."""
-        body = word[1:] if word[:1] == " " else word
-        if not body or max(body) >= "\u0250":
-            return None
-        if body.isalpha():
-            return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(BYTES))]
-        mark = body[-1]
-        if body[:-1].isalpha() and not mark.isalnum() and not mark.isspace() and mark >= " ":
-            if mark not in self.marks:
-                self.marks[mark] = [t.id for t in self.model.tokenize(mark.encode().decode("latin-1").translate(BYTES))]
-            return [t.id for t in self.model.tokenize(word[:-1].encode().decode("latin-1").translate(BYTES))] + self.marks[mark]
-        return None
-
-    def _encode(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        rest = []
-        for w in words:
-            ids = self._pieces(w) if self.plain else None
-            if ids is None:
-                rest.append(w)
-            else:
-                yield w, array("I", ids).tobytes()
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                yield w, array("I", e.ids).tobytes()
-
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.tokenizer = tokenizer(path)
+        self.model = self.tokenizer.model
+        self.plain = True
+        self._start([], np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        probe = pa.array([" the", "a", " \u00e9lan,", " Z\u00fcrich", "word.", " \u0101b!", " end.\nNew;", "\u00c9t\u00e9"])
+        whole = [e.ids for e in self.tokenizer.encode_batch_fast(probe.to_pylist(), add_special_tokens=False)]
+        lengths, flat = self.ids(probe)
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        hidden = pc.match_substring_regex(pa.array([*added, *(f"a{t}" for t in added)], pa.string()), PARTS)
+        # a byte-level tokenizer that parts letters from marks and line ends, with no special token among such pieces
+        self.plain = flat.tolist() == sum(whole, []) and lengths.tolist() == [len(w) for w in whole] and not any(hidden.to_pylist())
+        self._start([], np.zeros(0, np.int64), np.zeros(0, np.uint32))
+
+    def _start(self, names: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
+        """The table of these pieces, behind the empty one, which has no ids."""
+        self.names = ["", *names]
+        self.index = {w: i for i, w in enumerate(self.names)}
+        self.lengths, self.flat = array("q", [0, *lengths.tolist()]), array("I", flat.astype("<u4").tobytes())
+        self.last = np.zeros(0, np.int64)
+
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(self.lengths, np.int64), np.frombuffer(self.flat, np.uint32)
+
+    def _forget(self) -> None:
+        lengths, flat = self._arrays()
+        kept = np.unique(self.last[self.last > 0])
+        names, many, ids = [self.names[i] for i in kept], lengths[kept], spans(lengths, kept, flat)
+        del lengths, flat
+        self._start(names, many, ids)
+
+    def _numbers(self, pieces: list[str], plain: bool) -> np.ndarray:
+        """The pieces' numbers in the table; new ones are encoded."""
+        index = self.index
+        new = [w for w in pieces if w not in index]
+        if plain and new:
+            tokenize, lengths, flat = self.model.tokenize, self.lengths, self.flat
+            for w in _shown(new):
+                ids = [t.id for t in tokenize(w)]
+                lengths.append(len(ids))
+                flat.extend(ids)
+        else:
+            for at in range(0, len(new), 4096):
+                for e in self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False):
+                    ids = e.ids
+                    self.lengths.append(len(ids))
+                    self.flat.extend(ids)
+        index.update(zip(new, range(len(self.names), len(self.names) + len(new)), strict=True))
+        self.names += new
+        return np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
+
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, all ids)."""
-        if len(self.young) > MEMORY:
-            self.young, self.old = {}, self.young
-        young, old, new = self.young, self.old, []
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    new.append(w)
-        young.update(self._encode(new))
-        found = [young[w] for w in words]
-        return np.fromiter(map(len, found), np.int64, len(found)) // 4, np.frombuffer(b"".join(found), "<u4")
+        if len(self.names) > MEMORY:
+            self._forget()
+        which = np.zeros((5, len(words)), np.int64)
+        parts = pc.extract_regex(words, PARTS)
+        rest = parts.is_null().to_numpy(zero_copy_only=False) if self.plain else np.ones(len(words), bool)
+        if not rest.all():
+            coded = pa.concat_arrays([parts.field(k) for k in range(5)]).dictionary_encode()
+            regular = np.tile(~rest, 5)
+            numbers = self._numbers(_strings(coded.dictionary), True)
+            which.reshape(-1)[regular] = numbers[coded.indices.to_numpy(zero_copy_only=False)[regular].astype(np.int64)]
+        if rest.any():
+            which[0, rest] = self._numbers(_strings(words.filter(pa.array(rest))), False)
+        self.last = which[0]
+        lengths, flat = self._arrays()
+        pieces = which.T.ravel()
+        return lengths[pieces].reshape(-1, 5).sum(1), spans(lengths, pieces, flat)
 
 
 def spans(lengths: np.ndarray, which: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -112,7 +148,7 @@ class ByteEncoder:
     """For byte-level tokenizers that join a blank to the word behind it."""
 
     def __init__(self, path: str):
-        self.table = WordTable(path)
+        self.table = PieceTable(path)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
@@ -123,10 +159,9 @@ class ByteEncoder:
         heads = pc.take(words, pa.array(offsets[:-1])).dictionary_encode()
         tails = words.dictionary_encode()
         joined = pc.binary_join_element_wise(" ", tails.dictionary, "")
-        names = joined.to_numpy(zero_copy_only=False).tolist() + heads.dictionary.to_pylist()
         which = tails.indices.to_numpy().astype(np.int64)
         which[offsets[:-1]] = heads.indices.to_numpy() + len(tails.dictionary)
-        lengths, flat = self.table.ids(names)
+        lengths, flat = self.table.ids(pa.concat_arrays([joined, heads.dictionary]))
         ids = spans(lengths, which, flat)
         counts = np.add.reduceat(lengths[which], offsets[:-1]) if len(which) else np.zeros(0, np.int64)
         if pc.any(odd).as_py():  # rare runs of blanks: such a text is encoded as a whole
