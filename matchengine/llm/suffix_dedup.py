@@ -30,6 +30,7 @@ K = 24
 SHALLOW = 3  # characters of eight bytes sorted before the tries
 CROWDED = 8000  # different segments of an anchor (1.4 million suffixes), beyond which its windows meet by hash
 BLOCK = 400_000  # suffixes sorted at a time, or one anchor's
+STEP = 1_000_000  # bytes whose anchors are sought at a time: about eighty bytes of memory each
 MIX = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -81,28 +82,42 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def _found(data: np.ndarray, offsets: np.ndarray, length: int):
+    """anchors() of texts data[offsets], some STEP bytes at a time; a longer text's last segment of a step ends there."""
+    if len(data) <= 2 * STEP:
+        yield anchors(data, offsets[:-1], offsets[1:], length)
+        return
+    for i, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for at in range(a, max(a + 1, z - length + 1), STEP):
+            part = data[at : min(z, at + STEP + length - 1)]
+            number, first, last, kmer = anchors(part, np.zeros(1, np.int64), np.array([len(part)]), length)
+            yield number + i, first + at, last + at, kmer
+
+
 def segments(docs: DataFrame, length: int, whole: bool) -> DataFrame:
     """(kmer, seg, doc_id, tag, lo, hi) of every segment; without ``whole`` the kmer alone."""
 
     def run(batches):
         for batch in batches:
-            for rows, texts in pieces(batch, "text"):
-                data, offsets = _bytes(texts)
-                # empty texts share an end with the one before; searchsorted on the right end passes them over
-                number, first, last, kmer = anchors(data, offsets[:-1], offsets[1:], length)
-                kmers = pa.array(kmer.view(np.int64))
-                if not whole:
-                    yield pa.RecordBatch.from_arrays([kmers], ["kmer"])
-                    continue
-                body = data.tobytes()
-                seg = np.fromiter((xxhash.xxh3_64_intdigest(body[a : z + length], (z - a)) for a, z in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
-                base, index = offsets[:-1][number], pa.array(number)
-                yield pa.RecordBatch.from_arrays(
-                    [kmers, pa.array(seg.view(np.int64)), rows.column(0).take(index), rows.column(2).take(index), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))],
-                    ["kmer", "seg", "doc_id", "tag", "lo", "hi"],
-                )
+            for rows, texts in pieces(batch, "text", STEP):
+                yield from of_texts(rows, *_bytes(texts))
+
+    def of_texts(rows, data, offsets):
+        # empty texts share an end with the one before; searchsorted on the right end passes them over
+        for number, first, last, kmer in _found(data, offsets, length):
+            kmers = pa.array(kmer.view(np.int64))
+            if not whole:
+                yield pa.RecordBatch.from_arrays([kmers], ["kmer"])
+                continue
+            body = data.tobytes()
+            seg = np.fromiter((xxhash.xxh3_64_intdigest(body[a : z + length], (z - a)) for a, z in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first))
+            base, index = offsets[:-1][number], pa.array(number)
+            yield pa.RecordBatch.from_arrays(
+                [kmers, pa.array(seg.view(np.int64)), rows.column(0).take(index), rows.column(2).take(index), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))],
+                ["kmer", "seg", "doc_id", "tag", "lo", "hi"],
+            )
 
-    return docs.mapInArrow(run, "kmer long, seg long, doc_id long, tag int, lo int, hi int" if whole else "kmer long")
+    return docs.mapInArrow(run, "kmer long, seg long, doc_id long, tag long, lo int, hi int" if whole else "kmer long")
 
 
 def same_suffixes(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -175,7 +190,7 @@ def sort_segments(length: int):
                 out += [(ids[i], tags[i], lows[i] + a, lows[i] + b) for a, b in runs(flags[z : z + n])]
             z += n
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "tag", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "tag", "lo", "hi"])
 
     def run(batches):
         held = []
@@ -209,11 +224,11 @@ def _crowded(rows: DataFrame, length: int) -> DataFrame:
                 h = [xxhash.xxh3_128_digest(r["data"][i : i + length]) for i in range(n)]
                 two = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array([r["doc_id"]] * n, pa.int64()), pa.array([r["tag"]] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32) + r["lo"]), pa.array([r["alone"]] * n)],
+                    [pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array([r["doc_id"]] * n, pa.int64()), pa.array([r["tag"]] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32) + r["lo"]), pa.array([r["alone"]] * n)],
                     ["h1", "h2", "doc_id", "tag", "lo", "alone"],
                 )
 
-    every = rows.mapInArrow(windows, "h1 long, h2 long, doc_id long, tag int, lo int, alone boolean")
+    every = rows.mapInArrow(windows, "h1 long, h2 long, doc_id long, tag long, lo int, alone boolean")
     twice = every.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
     return every.filter("alone").join(twice, ["h1", "h2"]).select("doc_id", "tag", "lo", F.col("lo").alias("hi"))
 
@@ -224,7 +239,7 @@ def _key(docs: DataFrame) -> DataFrame:
 
 
 def tag(text: str) -> Column:
-    return F.hash(F.col(text))
+    return F.xxhash64(F.col(text))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -246,15 +261,15 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 body = (text or "").encode()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([x["kmer"] for x in s], pa.int64()), pa.array([d] * len(s), pa.int64()), pa.array([t] * len(s), pa.int32()), pa.array([x["lo"] for x in s], pa.int32()),
+                        pa.array([x["kmer"] for x in s], pa.int64()), pa.array([d] * len(s), pa.int64()), pa.array([t] * len(s), pa.int64()), pa.array([x["lo"] for x in s], pa.int32()),
                         pa.array([x["alone"] for x in s]), pa.array([x["crowded"] for x in s]), pa.array([body[x["lo"] : x["hi"] + length] for x in s], pa.binary()),
                     ],
                     ["kmer", "doc_id", "tag", "lo", "alone", "crowded", "data"],
                 )
 
-    once = keyed.join(asked, ["doc_id", "tag"]).select("text", "doc_id", "tag", "s").mapInArrow(fetch, "kmer long, doc_id long, tag int, lo int, alone boolean, crowded boolean, data binary")
+    once = keyed.join(asked, ["doc_id", "tag"]).select("text", "doc_id", "tag", "s").mapInArrow(fetch, "kmer long, doc_id long, tag long, lo int, alone boolean, crowded boolean, data binary")
     bodies = materialise(once, "bodies")
-    sorted_ = bodies.filter("not crowded").repartition("kmer").sortWithinPartitions("kmer").select("kmer", "doc_id", "tag", "lo", "alone", "data").mapInArrow(sort_segments(length), "doc_id long, tag int, lo int, hi int")
+    sorted_ = bodies.filter("not crowded").repartition("kmer").sortWithinPartitions("kmer").select("kmer", "doc_id", "tag", "lo", "alone", "data").mapInArrow(sort_segments(length), "doc_id long, tag long, lo int, hi int")
     every = copies.union(sorted_).union(_crowded(bodies.filter("crowded"), length))
     return materialise(every.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "spans")
 
