@@ -64,7 +64,7 @@ def experience(cv: Column, job: Column, inferred: Column | None = None) -> Signa
 def seniority_years(title: Column, text: Column) -> Column:
     """Years that the title, or else the text's beginning, implies; 0 of none."""
     t = fold(F.when(F.coalesce(title, F.lit("")) != "", title).otherwise(F.substring(text, 1, 500)))
-    return F.coalesce(*[F.when(t.rlike(p), F.lit(y)) for p, y in SENIORITY], F.lit(0))
+    return F.coalesce(*[F.when(t.rlike(rf"\b{w}e?s?\b"), F.lit(y)) for w, y in SENIORITY], F.lit(0))
 
 
 def education_tokens(text: Column) -> Column:

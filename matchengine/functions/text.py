@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters whose decomposition is an ASCII letter and marks; what has none is dropped by fold()
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUYY"
 BULLET = r"^\s*(?:[•◦‣▪·\-*]|\(?\d+[.)])\s+"
 
 
@@ -16,18 +16,41 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@functools.cache
+def decomposed() -> tuple[str, str, dict[str, str]]:
+    """Of the characters outside ASCII whose compatibility decomposition has ASCII ones: those with one and, in the same
+    order, that one; and those with several, with them."""
+    one, several = {}, {}
+    for c in map(chr, range(0x80, 0x30000)):
+        plain = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if len(plain) == 1:
+            one[c] = plain
+        elif plain:
+            several[c] = plain
+    return "".join(one), "".join(one.values()), several
+
+
+def _spread(c: Column) -> Column:
+    """Ligatures, fractions and the like as the characters they stand for. Only texts with a character that can be one
+    (few below U+0250 are) are looked at character by character."""
+    pairs = F.create_map(*[F.lit(x) for pair in decomposed()[2].items() for x in pair])
+    letters = F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x))
+    return F.when(c.rlike(r"[\u00BC-\u00BE\u0132\u0133\u01C4-\u01CC\u01F1-\u01F3\u0250-\x{10FFFF}]"), F.array_join(letters, "")).otherwise(c)
+
+
 def fold(c: Column | str, quotes: bool = False) -> Column:
-    """Lower case without accents; other characters outside ASCII are dropped. quotes: typographic ones become '."""
+    """Lower case without accents: compatibility decomposition, of which what is outside ASCII is dropped. quotes:
+    typographic ones become '."""
     c = _col(c)
     if quotes:
         c = F.translate(c, "’´`", "'''")
-    return F.lower(F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"[^\x00-\x7F]", ""))
+    accented, plain, _ = decomposed()
+    return F.lower(F.regexp_replace(F.translate(_spread(c), accented, plain), r"[^\x00-\x7F]+", ""))
 
 
 def skill_tokens(c: Column | str) -> Column:
-    """Words of letters, digits, #, + and inner dots of the folded text; "/" parts words."""
-    found = F.regexp_extract_all(F.translate(fold(c), "/", " "), F.lit(r"[a-z0-9#+.]+"), F.lit(0))
-    return F.filter(F.transform(found, lambda t: F.trim(t, F.lit("."))), lambda t: t != "")
+    """Words of letters, digits, #, + and inner dots of the folded text."""
+    return F.regexp_extract_all(fold(c), F.lit(r"[a-z0-9#+](?:[a-z0-9#+.]*[a-z0-9#+])?"), F.lit(0))
 
 
 def canonical_tokens(c: Column | str) -> Column:
@@ -43,25 +66,11 @@ def replace_words(c: Column, pairs: dict[str, str]) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def _longer(gram: Column, tokens: Column, n: int) -> Column:
-    """Runs of ``n`` tokens: each the one of n - 1 and a token more; slices of the tokens would copy them all for every run."""
-    short = F.slice(gram, 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
-    return F.transform(short, lambda x, i: F.concat_ws(" ", x, F.get(tokens, i + (n - 1))))
-
-
-def _numbered(gram: Column, n: int) -> Column:
-    return F.transform(gram, lambda x, i: F.struct(F.lit(n).alias("n"), i.alias("pos"), x.alias("gram")))
-
-
-def ngrams(tokens: Column | str, most: int = 5) -> Column:
-    """Structs (n, pos, gram) of all runs of one to ``most`` tokens. ``tokens`` should be a column, not a long
-    expression: it is read for every run."""
+def runs(tokens: Column | str, most: int) -> Column:
+    """Structs (pos, first, run) of each token: its place, itself, and it with the ``most`` - 1 behind it, one blank apart.
+    ``tokens`` should be a column, not a long expression: it is read for every token."""
     t = _col(tokens)
-    gram, runs = t, []
-    for n in range(1, most + 1):
-        gram = _longer(gram, t, n) if n > 1 else t
-        runs.append(_numbered(gram, n))
-    return F.concat(*runs)
+    return F.transform(t, lambda x, i: F.struct(i.alias("pos"), x.alias("first"), F.concat_ws(" ", x, *[F.get(t, i + k) for k in range(1, most)]).alias("run")))
 
 
 def sentences(c: Column | str) -> Column:
@@ -137,11 +146,32 @@ def chunks(c: Column | str, size: int = 800, most: int | None = None) -> Column:
     return run(_col(c))
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often ``f`` names it; null is bound too."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def first_match(text: Column, patterns: dict[str, str]) -> Column:
     """The first label whose pattern occurs, else null."""
     return F.coalesce(*[F.when(text.rlike(p), F.lit(label)) for label, p in patterns.items()])
 
 
+def words_pattern(words: list[str]) -> str:
+    """A pattern of any of the words or phrases as whole words."""
+    return r"\b(?:" + "|".join(words) + r")\b"
+
+
+def token_slices(tokens: Column | str, budget: int) -> Column:
+    """Parts of ``budget`` tokens, the last one shorter; none of no tokens."""
+    t = _col(tokens)
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(t) / budget).cast("int")), lambda i: F.slice(t, i * budget + 1, budget)) if budget > 0 else F.array(t)
+
+
+def budget_pieces(tokens: Column | str, most: int = 512, special: int = 2) -> Column:
+    """token_slices() for a model that takes ``most`` tokens, of which ``special`` are its own."""
+    return F.filter(token_slices(tokens, max(1, most - special)), lambda x: F.size(x) > 0)
+
+
 def all_matches(text: Column, patterns: dict[str, str]) -> Column:
     """The labels whose patterns occur, in order."""
     return F.filter(F.array(*[F.when(text.rlike(p), F.lit(label)) for label, p in patterns.items()]), lambda x: x.isNotNull())

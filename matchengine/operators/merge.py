@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def latest(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row a key: the last by ``order``; among equal ones, or without an order, the one with the largest hash."""
+    last = [F.col(order).desc_nulls_last()] if order else []
+    w = Window.partitionBy(*keys).orderBy(*last, F.xxhash64(*rows.columns).desc())
+    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_if_null: tuple[str, ...] = ()) -> DataFrame:
-    """New rows replace old ones of the same key; columns of keep_if_null stay where the new row has none."""
+    """New rows replace old ones of the same key; columns of keep_if_null stay where the new row has none. Keys that are
+    not unique pair up as in any join: bring ``new`` to its latest() rows first, whose partitioning serves the join."""
     o = old.withColumn("_o", F.lit(True)).alias("o")
     n = new.withColumn("_n", F.lit(True)).alias("n")
     joined = o.join(n, keys, "full_outer")

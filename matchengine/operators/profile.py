@@ -32,10 +32,11 @@ def profiles(docs: DataFrame, aliases: DataFrame, as_of_year: int, id_: str = "d
     out = flat.join(wide, id_, "left")
     kept, optional = sections.hedged(F.coalesce(F.col("_req"), F.col("_x")))
     out = out.withColumn("_req", kept).withColumn("_nice", F.concat_ws("\n", F.coalesce("_nice", F.lit("")), optional)).withColumn("education_tokens", scoring.education_tokens(F.coalesce("_edu", F.lit(""))))
-    for source, name in (("_x", "skill_terms"), ("_req", "required_skill_terms"), ("_nice", "nice_skill_terms"), ("title_line", "title_skills")):
-        found = skills.skill_lists(skills.find_skills(out, aliases, id_, source), id_).withColumnRenamed("skills", name)
-        out = out.join(found, id_, "left").withColumn(name, F.coalesce(name, F.array().cast(STRINGS)))
-    return out.drop("_x", "_req", "_nice", "_edu")
+    names = {"_x": "skill_terms", "_req": "required_skill_terms", "_nice": "nice_skill_terms", "title_line": "title_skills"}
+    lists = skills.field_lists(skills.find_in_fields(out, aliases, id_, tuple(names)), names, id_)
+    empty = F.array().cast(STRINGS)
+    out = out.drop("_x", "_req", "_nice", "_edu").join(lists, id_, "left")
+    return out.withColumns({n: F.coalesce(n, empty) for n in names.values()})
 
 
 def score(pairs: DataFrame, weak: list[str] = (), semantic: Column | None = None) -> DataFrame:

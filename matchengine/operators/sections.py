@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchengine.functions.constants import HEDGES, SECTIONS, items
-from matchengine.functions.text import fold
+from matchengine.functions.constants import HEDGE_FILLERS, HEDGES, SECTIONS
+from matchengine.functions.text import bound, fold
 
 # Words that may stand beside a heading's own.
 BESIDE = "de des du d la le les l et ou a au aux en mes mon ma vos votre nos notre and of the my your"
@@ -29,11 +29,11 @@ def _fits(names: str):
     return lambda w: w.rlike(rf"^({names})$") | w.rlike(ADJECTIVE)
 
 
-def section_of(line: Column, sections: dict[str, str] | None = None) -> Column:
+def section_of(line: Column, sections: dict[str, list[str]] | None = None) -> Column:
     """The section that a line heads, else null: an alias itself, or one of four characters and more with nothing
     beside it but small words, words of the same section and adjectives. Six words at most."""
     table = sections or SECTIONS
-    alias = {" ".join(a.replace("-", " ").split()): s for s, v in reversed(list(table.items())) for a in items(v)}
+    alias = {" ".join(a.replace("-", " ").split()): s for s, v in reversed(list(table.items())) for a in v}
     form = lambda x: F.trim(F.regexp_replace(F.regexp_replace(fold(F.regexp_replace(unspaced(x), r"\(.*?\)", " ")), r"\s*:\s*$", ""), r"[^a-z0-9]+", " "))
     names = F.create_map(*[F.lit(x) for a, s in alias.items() for x in (a, s)])
 
@@ -41,9 +41,9 @@ def section_of(line: Column, sections: dict[str, str] | None = None) -> Column:
         found = F.try_element_at(names, t)
         near = F.lit(None).cast("string")
         for s in reversed(list(table)):
-            own = sorted({w for a in items(table[s]) for w in a.replace("-", " ").split()}, key=lambda w: (-len(w), w))
+            own = sorted({w for a in table[s] for w in a.replace("-", " ").split()}, key=lambda w: (-len(w), w))
             fit = "|".join([*own, *BESIDE.split()])
-            long = "|".join(sorted((a.replace("-", " ") for a in items(table[s]) if len(a) >= 4), key=lambda a: (-len(a), a)))
+            long = "|".join(sorted((a.replace("-", " ") for a in table[s] if len(a) >= 4), key=lambda a: (-len(a), a)))
             words = F.split(t, " ")
             ok = t.rlike(rf"\b({long})\b") & F.forall(words, _fits(fit))
             near = F.when(ok, F.lit(s)).otherwise(near)
@@ -51,6 +51,7 @@ def section_of(line: Column, sections: dict[str, str] | None = None) -> Column:
         both = t.rlike(r"\b(formations?|diplomes?)\b.*\bcertifications?\b")
         return F.when(F.size(F.split(t, " ")) <= 6, F.when(both & whole.isNull(), F.lit("education")).otherwise(whole))
 
+    line = F.when(F.length(line) <= 120, line)  # what is longer heads nothing
     # letter by letter, a possessive runs into the name behind it
     parted = F.when(unspaced(line) != line, F.regexp_replace(form(line), r"^(mes|ma|mon|nos|notre)(?=[a-z]{4})", ""))
     heads = F.transform(F.array(form(line), parted), lambda t: F.when(t != "", told(t)))
@@ -63,7 +64,7 @@ def carry(heads: DataFrame, id_: str = "doc_id") -> DataFrame:
     return heads.withColumn("section", F.coalesce(F.last("heading", ignorenulls=True).over(w), F.lit("other")))
 
 
-def sectioned(docs: DataFrame, id_: str = "doc_id", text: str = "text", sections: dict[str, str] | None = None) -> DataFrame:
+def sectioned(docs: DataFrame, id_: str = "doc_id", text: str = "text", sections: dict[str, list[str]] | None = None) -> DataFrame:
     """(id, section, body): lines without the headings, in order. A "Skills: ..." line within experience heads nothing."""
     ls = lines(docs, id_, text).withColumn("heading", section_of(F.col("line"), sections))
     full = carry(ls, id_).filter("heading is null and trim(line) <> ''")
@@ -71,11 +72,19 @@ def sectioned(docs: DataFrame, id_: str = "doc_id", text: str = "text", sections
     return full.groupBy(id_, "section").agg(F.array_join(parts, "\n").alias("body"))
 
 
+def is_hedged(sentence: Column) -> Column:
+    """Whether a sentence has a phrase of what is optional: its words in a row, fillers between them left out."""
+    few = F.when(sentence.rlike("(?i)plus|atout|appr.{1,3}ci|nice|pr.{1,3}f|possible"), sentence)  # no other can have one
+    words = F.filter(F.split(F.coalesce(fold(few), F.lit("")), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(HEDGE_FILLERS))
+    plain = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    return bound(plain, lambda p: F.exists(F.array(*[F.lit(f" {h}") for h in HEDGES]), lambda h: F.contains(p, h)))
+
+
 def hedged(text: Column) -> tuple[Column, Column]:
     """(kept, hedged): sentences that call something optional apart from the rest."""
-    pattern = "|".join(HEDGES)
-    parts = F.split(text, r"(?<=[.!?])\s+")
-    return F.array_join(F.filter(parts, lambda s: ~fold(s).rlike(pattern)), " "), F.array_join(F.filter(parts, lambda s: fold(s).rlike(pattern)), " ")
+    told = F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.struct(s.alias("s"), is_hedged(s).alias("h")))
+    some = lambda h: F.array_join(F.transform(F.filter(told, lambda x: x["h"] == F.lit(h)), lambda x: x["s"]), " ")
+    return some(False), some(True)
 
 
 def without_repeats(ls: DataFrame, id_: str = "doc_id") -> DataFrame:

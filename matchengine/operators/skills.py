@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchengine.functions.text import fold, ngrams, skill_tokens
+from matchengine.functions.text import fold, replace_words, runs, skill_tokens
 
 MOST_ALIASES = 200_000  # rows of a dictionary that are broadcast; a larger one is joined by hash
 
@@ -22,22 +23,96 @@ def layered(layers: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select("alias", "canonical")
 
 
-def find_skills(docs: DataFrame, aliases: DataFrame, id_: str = "doc_id", text: str = "text", most: int = 5, small: bool = True) -> DataFrame:
-    """(id, canonical, n, pos): for each skill the first place of its longest run. Runs overlap freely. small: the
-    dictionary has under MOST_ALIASES rows and is broadcast."""
-    toks = docs.select(id_, skill_tokens(text).alias("_t"))
-    # inline() would have the optimizer infer a filter that computes the tokens anew for every run; the join drops nulls
-    grams = toks.select(id_, F.inline_outer(ngrams("_t", most)))
-    keys = F.broadcast(aliases) if small else aliases
-    hits = grams.join(keys, F.col("gram") == F.col("alias")).groupBy(id_, "canonical", "n").agg(F.min("pos").alias("pos"))
-    w = Window.partitionBy(id_, "canonical").orderBy(F.col("n").desc())
-    return hits.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+def find_skills(docs: DataFrame, aliases: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, canonical, n, pos): for each skill the first place of its longest run. Runs overlap freely."""
+    return find_in_fields(docs, aliases, id_, (text,)).drop("field")
+
+
+def find_in_fields(docs: DataFrame, aliases: DataFrame, id_: str, texts: tuple[str, ...]) -> DataFrame:
+    """find_skills() over several columns in one pass: (id, field, canonical, n, pos).
+
+    Each token is a row with the tokens that the longest alias could need behind it, and meets the aliases that begin
+    with it. The dictionary is broadcast if it has at most MOST_ALIASES rows, which one small job counts; a larger one is
+    joined by hash, whole runs of each length that it has, so that a frequent first word is no hot key."""
+    keys = aliases.withColumn("_n", F.size(F.split("alias", " ")))
+    size = keys.limit(MOST_ALIASES + 1).agg(F.count("*").alias("rows"), F.collect_set("_n").alias("lengths"), F.max("_n").alias("most")).first()
+    small = size.rows <= MOST_ALIASES
+    lengths = sorted(size.lengths) if small else sorted(r[0] for r in keys.select("_n").distinct().collect())
+    most = max(lengths, default=1)
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), skill_tokens(c).alias("t")) for c in texts])
+    toks = docs.select(id_, F.explode(fields).alias("_f")).select(id_, "_f.field", F.col("_f.t").alias("_t"))
+    if small:
+        # inline() would have the optimizer infer a filter that computes the tokens anew for every run; the join drops nulls
+        rows = toks.select(id_, "field", F.inline_outer(runs("_t", most)))
+        keys = F.broadcast(keys.select(F.substring_index("alias", " ", 1).alias("first"), "alias", "canonical", "_n"))
+        whole = F.startswith(F.concat("run", F.lit(" ")), F.concat("alias", F.lit(" ")))
+        hits = rows.join(keys, "first").filter(whole)
+    else:
+        rows = toks.select(id_, "field", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("_m"), "_t")
+        grams = F.transform("_t", lambda x, i: F.struct(i.alias("pos"), F.array_join(F.slice("_t", i + 1, F.col("_m")), " ").alias("run")))
+        rows = rows.select(id_, "field", F.inline_outer(F.slice(grams, 1, F.greatest(F.size("_t") - F.col("_m") + 1, F.lit(0)))))
+        hits = rows.join(keys, F.col("run") == F.col("alias"))
+    best = F.max(F.struct(F.col("_n").alias("n"), (-F.col("pos")).alias("back")))
+    return hits.groupBy(id_, "field", "canonical").agg(best.alias("_b")).select(id_, "field", "canonical", "_b.n", (-F.col("_b.back")).alias("pos"))
+
+
+def with_whitelist(docs: DataFrame, hits: DataFrame, aliases: DataFrame, whitelist: list[str], id_: str = "doc_id", text: str = "text", synonyms: dict[str, str] | None = None, cutoff: float = 0.8) -> DataFrame:
+    """Adds to hits of find_skills() the skills of a short list that the dictionary did not find: first those that stand
+    in the text as words, then those of four characters and more that a word of it resembles by ``cutoff``. They come
+    behind the text's tokens, in the list's order, those that stand in it first; n is 0."""
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(i, w) for i, w in enumerate(whitelist) if w], "k int, term string")
+    named = normalise(wanted.select("term").distinct(), aliases)
+    wanted = wanted.join(named, "term", "left").select("k", "term", F.coalesce("canonical", "term").alias("canonical"))
+    plain = docs.select(id_, replace_words(F.col(text), synonyms or {}).alias("_x"), F.size(skill_tokens(text)).alias("_size"))
+    stands = F.filter(F.array(*[F.when(F.col("_x").rlike(rf"\b{re.escape(w.lower())}\b"), F.lit(i)) for i, w in enumerate(whitelist)]).cast("array<int>"), lambda x: x.isNotNull())
+    exact = plain.select(id_, "_size", F.explode(stands).alias("k")).withColumn("_pass", F.lit(0))
+    words = plain.select(id_, "_size", F.explode(F.array_distinct(F.regexp_extract_all("_x", F.lit(r"[a-z0-9+.#]+"), F.lit(0)))).alias("word"))
+    near = resembling(words, [w.lower() for w in whitelist], cutoff).join(spark.createDataFrame([(i, w.lower()) for i, w in enumerate(whitelist)], "k int, target string"), "target")
+    typed = words.join(near.select("word", "k"), "word").select(id_, "_size", "k").withColumn("_pass", F.lit(1))
+    first = exact.unionByName(typed).join(F.broadcast(wanted), "k").groupBy(id_, "canonical").agg(F.min(F.struct("_pass", "k", "_size")).alias("_b"))
+    known = hits.select(id_, F.lower("canonical").alias("_c")).distinct()
+    new = first.withColumn("_c", F.lower("canonical")).join(known, [id_, "_c"], "left_anti")
+    place = F.row_number().over(Window.partitionBy(id_).orderBy("_b._pass", "_b.k"))
+    return hits.select(id_, "canonical", "n", "pos").unionByName(new.select(id_, "canonical", F.lit(0).alias("n"), (F.col("_b._size") + place - 1).cast("int").alias("pos")))
+
+
+def resembling(words: DataFrame, targets: list[str], cutoff: float = 0.8, least: int = 4) -> DataFrame:
+    """(word, target) of each distinct word and each target of ``least`` characters and more whose Ratcliff-Obershelp
+    ratio reaches the cutoff."""
+    targets = sorted({t for t in targets if len(t) >= least})
+
+    def run(batches):
+        tests = []
+        for t in targets:
+            m = difflib.SequenceMatcher()
+            m.set_seq2(t)
+            tests.append((t, m))
+        for b in batches:
+            got = []
+            for w in b.column(0).to_pylist():
+                for t, m in tests:
+                    m.set_seq1(w)
+                    if m.real_quick_ratio() >= cutoff and m.quick_ratio() >= cutoff and m.ratio() >= cutoff:
+                        got.append((w, t))
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.string()) for k in (0, 1)], ["word", "target"])
+
+    return words.select("word").distinct().mapInArrow(run, "word string, target string")
 
 
 def skill_lists(hits: DataFrame, id_: str = "doc_id") -> DataFrame:
     """(id, skills) in order of place, longer runs first."""
-    s = F.array_sort(F.collect_list(F.struct("pos", (-F.col("n")).alias("m"), "canonical")))
-    return hits.groupBy(id_).agg(F.transform(s, lambda x: x["canonical"]).alias("skills"))
+    return hits.groupBy(id_).agg(_in_order().alias("skills"))
+
+
+def _in_order(where: Column | None = None) -> Column:
+    one = F.struct("pos", (-F.col("n")).alias("m"), "canonical")
+    return F.transform(F.array_sort(F.collect_list(one if where is None else F.when(where, one))), lambda x: x["canonical"])
+
+
+def field_lists(hits: DataFrame, names: dict[str, str], id_: str = "doc_id") -> DataFrame:
+    """skill_lists() of find_in_fields(): a column for each field, named by ``names``."""
+    return hits.groupBy(id_).agg(*[_in_order(F.col("field") == f).alias(c) for f, c in names.items()])
 
 
 def fuzzy(words: DataFrame, targets: list[str], cutoff: float = 0.8, least: int = 4) -> DataFrame:

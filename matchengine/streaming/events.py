@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchengine.operators.merge import upsert
+from matchengine.operators.merge import latest, upsert
 
 
 def leading(events: DataFrame, keys: list[str], gap_s: float, ts: str = "ts", id_: str = "event_id") -> DataFrame:
@@ -86,14 +86,14 @@ def with_dead_letters(work, retries: int = 3, sleep=lambda s: None):
     return run
 
 
-def upsert_batches(path: str, keys: list[str], keep_if_null: tuple[str, ...] = ()):
-    """A foreachBatch function that merges each batch into the table below ``path``; each merge is a new version, named by
-    its batch, so a batch that is run again writes the same version again."""
+def upsert_batches(path: str, keys: list[str], keep_if_null: tuple[str, ...] = (), order: str | None = None):
+    """A foreachBatch function that merges the latest() rows of each batch, by ``order``, into the table below ``path``;
+    each merge is a new version, named by its batch, so a batch that is run again writes the same version again."""
 
     def run(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
         old = spark.read.parquet(f"{path}/v={batch - 1}") if batch else df.limit(0)
-        upsert(old, df, keys, keep_if_null).write.mode("overwrite").parquet(f"{path}/v={batch}")
+        upsert(old, latest(df, keys, order), keys, keep_if_null).write.mode("overwrite").parquet(f"{path}/v={batch}")
 
     return run
