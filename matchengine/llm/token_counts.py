@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchengine.llm.store import materialise
+
 BLOCK = 1024
 _ENCODINGS: dict = {}
 
@@ -73,18 +75,26 @@ def suffix_sums(hist: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, truncated_total, docs_cut): answers for any limits, between lengths too."""
-    whole = sums.agg(
-        *[
-            F.struct(
-                F.lit(x).cast("long").alias("context_limit"),
-                F.coalesce(F.sum(F.least(F.col("n_tokens"), F.lit(x)) * F.col("n_docs")), F.lit(0)).alias("truncated_total"),
-                F.coalesce(F.sum(F.when(F.col("n_tokens") > x, F.col("n_docs"))), F.lit(0)).alias("docs_cut"),
-            ).alias(f"_{i}")
-            for i, x in enumerate(limits)
-        ]
-    )
-    return whole.select(F.inline(F.array(*[f"_{i}" for i in range(len(limits))])))
+    """(context_limit, truncated_total, docs_cut) of rows of suffix_sums() (or of a histogram), for any limits, between lengths too.
+
+    The longest length within a limit and the shortest beyond it have all that is asked for: shorter documents are whole
+    (all tokens less those from the next length on), and each of the next length's docs_from is cut to the limit."""
+    sums = sums if "docs_from" in sums.columns else suffix_sums(sums)
+    all_tokens = F.max(F.col("truncated_total") - F.col("n_tokens") * F.col("docs_from") + F.col("tokens_from"))
+    answers = []
+    for i, x in enumerate(limits):
+        beyond = F.min(F.when(F.col("n_tokens") > x, F.struct("n_tokens", "docs_from", "tokens_from")))
+        zero = F.lit(0).cast("long")
+        cut = F.coalesce(beyond["docs_from"], zero)
+        total = F.coalesce(all_tokens, zero) - F.coalesce(beyond["tokens_from"], zero) + x * cut
+        answers.append(F.struct(F.lit(x).cast("long").alias("context_limit"), total.alias("truncated_total"), cut.alias("docs_cut")).alias(f"_{i}"))
+    return sums.agg(*answers).select(F.inline(F.array(*[f"_{i}" for i in range(len(limits))])))
+
+
+def at_quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, n_tokens): the least length that at least a share of all documents does not exceed; null of no documents."""
+    answers = [F.struct(F.lit(float(q)).alias("share"), F.min(F.when(F.col("quantile") >= q, F.col("n_tokens"))).alias("n_tokens")).alias(f"_{i}") for i, q in enumerate(shares)]
+    return sums.agg(*answers).select(F.inline(F.array(*[f"_{i}" for i in range(len(shares))])))
 
 
 def op1_token_counts(spark, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -92,4 +102,5 @@ def op1_token_counts(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return suffix_sums(histogram(docs, path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    counted = histogram(docs, path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return suffix_sums(materialise(counted, "lengths"))  # written, for the sums read it twice: a row a length, no text is encoded again
