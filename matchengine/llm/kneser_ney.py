@@ -83,31 +83,44 @@ def total(order: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> list[np.
     return [first, keys[first], *(np.add.reduceat(c[order], first) if len(keys) else c for c in columns)]
 
 
+def width(c: np.ndarray) -> int:
+    """Bytes that hold every count of a column: four where they do, else eight."""
+    return 8 if len(c) and int(c.max()) >> 32 else 4
+
+
 def pack(*columns: np.ndarray) -> bytes:
-    """Compressed columns; 64-bit ones as six byte planes, the first as differences."""
+    """Compressed columns as byte planes: 48-bit hashes (unsigned), the first column's as differences, and counts (signed)."""
     out = [len(columns[0]).to_bytes(8, "little")]
     for i, c in enumerate(columns):
-        if c.dtype == np.uint64:
-            c = np.diff(c, prepend=np.uint64(0)) if i == 0 else c
-            out.append(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes())
-        else:
-            out.append(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+        hashes = c.dtype == np.uint64
+        if hashes and i == 0:
+            c = np.diff(c, prepend=np.uint64(0))
+        wide = BITS // 8 if hashes else width(c)
+        out.append(bytes([wide]))
+        out.append(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes())
     return zstandard.compress(b"".join(out), 1)
 
 
 def unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
+    """Columns as pack() got them; ``w`` stands for hashes, ``i`` for counts."""
     data = np.frombuffer(zstandard.decompress(blob), np.uint8)
     n, at, out = int.from_bytes(data[:8].tobytes(), "little"), 8, []
     for i, k in enumerate(kinds):
-        wide, full = (6, 8) if k == "w" else (4, 4)
-        whole = np.zeros((n, full), np.uint8)
+        wide, at = int(data[at]), at + 1
+        whole = np.zeros((n, 8), np.uint8)
         whole[:, :wide] = data[at : at + wide * n].reshape(wide, n).T
         at += wide * n
-        c = whole.view("<u8" if k == "w" else "<u4").ravel()
-        out.append(np.cumsum(c, dtype=np.uint64) if k == "w" and i == 0 else c)
+        c = whole.view("<u8").ravel()
+        out.append(np.cumsum(c, dtype=np.uint64) if k == "w" and i == 0 else c if k == "w" else c.astype(np.int64))
     return out
 
 
+def shard_file(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Entries, the counts' bytes each, sorted keys, columns of counts."""
+    wide = max(map(width, columns))
+    return len(keys).to_bytes(8, "little") + wide.to_bytes(8, "little") + keys.astype("<u8").tobytes() + b"".join(c.astype(f"<u{wide}").tobytes() for c in columns)
+
+
 @dataclass(frozen=True)
 class Model:
     """path: the shared folder of shards; the totals of the training tokens."""
@@ -183,7 +196,7 @@ def fit(docs: DataFrame) -> Model:
             keys = pair_keys(v, w)
             first, keys, c = total(order := np.argsort(keys), keys, c.astype(np.int64))
             v, w = v[order][first], w[order][first]
-            put(f"{path}/pairs-{p}", len(keys).to_bytes(8, "little") + keys.astype("<u8").tobytes() + np.minimum(c, (1 << 32) - 1).astype("<u4").tobytes())
+            put(f"{path}/pairs-{p}", shard_file(keys, c))
             kinds = [int((c == k).sum()) for k in (1, 2, 3, 4)]
             one, zero = np.ones(len(v), np.int64), np.zeros(len(v), np.int64)
             both = np.concatenate([v, w])
@@ -209,7 +222,7 @@ def fit(docs: DataFrame) -> Model:
         for q, blobs in by_shard(seen(batches)):
             w, *columns = (np.concatenate(x) for x in zip(*(unpack(b, "wiiiii") for b in blobs), strict=True))
             _, w, tot, k1, k2, k3, cont = total(np.argsort(w), w, *(c.astype(np.int64) for c in columns))
-            put(f"{path}/words-{q}", len(w).to_bytes(8, "little") + w.astype("<u8").tobytes() + b"".join(c.astype("<u4").tobytes() for c in (tot, k1, k2, k3, cont)))
+            put(f"{path}/words-{q}", shard_file(w, tot, k1, k2, k3, cont))
             starts = int(tot[w == START].sum())
             row = [int(tot.sum()), int((cont > 0).sum()), starts, int(cont.sum()), *(int((cont == k).sum()) for k in (1, 2, 3, 4)), int((cont > 2).sum()), *kinds.tolist()]
             kinds[:] = 0
@@ -244,9 +257,9 @@ class Shards:
                 self.open[name] = None
             else:
                 data = np.memmap(where, np.uint8, "r")
-                n = int.from_bytes(data[:8].tobytes(), "little")
-                at = 8 + 8 * n
-                self.open[name] = [data[8:at].view("<u8"), *(data[at + 4 * n * i : at + 4 * n * (i + 1)].view("<u4") for i in range(columns))]
+                n, wide = (int.from_bytes(data[k : k + 8].tobytes(), "little") for k in (0, 8))
+                at = 16 + 8 * n
+                self.open[name] = [data[16:at].view("<u8"), *(data[at + wide * n * i : at + wide * n * (i + 1)].view(f"<u{wide}") for i in range(columns))]
         return self.open[name]
 
     def find(self, kind: str, shard: np.ndarray, keys: np.ndarray, columns: int) -> list[np.ndarray]:
@@ -267,6 +280,13 @@ class Shards:
 _SHARDS: dict[str, Shards] = {}
 
 
+def shards_of(path: str) -> Shards:
+    """One a worker process and model. Named by a nested function, _SHARDS itself would be sent, empty, with every task."""
+    if path not in _SHARDS:
+        _SHARDS[path] = Shards(path)
+    return _SHARDS[path]
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, base_score, score of docs (doc_id, text, held_out)."""
     m = model
@@ -275,7 +295,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return np.array([0.0, *d])[np.minimum(c, 3)]
 
     def run(batches):
-        shards = _SHARDS.setdefault(m.path, Shards(m.path))
+        shards = shards_of(m.path)
         rest = sum(k * d for k, d in zip(m.word_kinds, m.word_discounts, strict=True)) / m.bigrams if m.bigrams else 1.0
         for batch in batches:
             for rows, texts in pieces(batch, "text"):
