@@ -14,10 +14,13 @@ SETTING = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's path below the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent, as in tests on one machine, a folder of this machine is set.
+    Only where that setting is absent and all of Spark is one process, as in tests, a folder of this machine is set.
     """
     root = spark.conf.get(SETTING, None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{SETTING} has to name a folder that the driver and all executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="matchengine-")
         spark.conf.set(SETTING, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
