@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,36 +56,61 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؛،]")
 WORDS = re.compile(r"[a-z]+")
 
 
-class _Page(HTMLParser):
-    """nodes: [path, text, block, outermost article, signs above, in a link]; out-of-bounds text is not kept.
+class _Open(NamedTuple):
+    """An open element; what it says of everything below it is carried along, so that depth costs nothing."""
+
+    tag: str
+    path: int  # the number of its path of tags
+    out: bool  # out of bounds from here on
+    article: int  # outermost article's number or 0
+    sign: int  # number of the innermost element with a sign, or 0
+    link: bool
+    heading: bool
+    header: bool
+    body: bool  # in an article or main
+    prose: bool
+
+
+_TOP = _Open("", 0, False, 0, 0, False, False, False, False, False)
 
-    Articles (and mains) and elements with signs are numbered; signs are those of all open elements."""
+
+class _Page(HTMLParser):
+    """nodes: [path's number, text, block, outermost article, innermost sign, in a link, in prose]; out-of-bounds text is
+    not kept. Articles (and mains) and elements with signs are numbered in order; ``above`` has each sign's next one up."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        # tag, whether out of bounds from here on, outermost article's number or 0, numbers of signs
-        self.stack: list[tuple[str, bool, int, tuple[int, ...]]] = []
+        self.stack: list[_Open] = []
+        self.paths: dict[tuple[int, str], int] = {}
+        self.open: Counter[str] = Counter()  # open elements by tag
+        self.above: dict[int, int] = {}
         self.nodes: list[list] = []
         self.block = 0
         self.elements = 0
 
     def _push(self, tag: str, out: bool, sign: bool) -> None:
         self.elements += 1
-        _, above, article, signs = self.stack[-1] if self.stack else ("", False, 0, ())
-        if not article and not sign and tag in ("article", "main"):
-            article = self.elements
-        self.stack.append((tag, out or above, article, (*signs, self.elements) if sign else signs))
+        up = self.stack[-1] if self.stack else _TOP
+        article = self.elements if not up.article and not sign and tag in ("article", "main") else up.article
+        if sign:
+            self.above[self.elements] = up.sign
+        self.stack.append(
+            _Open(
+                tag, self.paths.setdefault((up.path, tag), len(self.paths) + 1), out or up.out, article, self.elements if sign else up.sign,
+                up.link or tag == "a", up.heading or tag in HEADINGS, up.header or tag == "header", up.body or tag in ("article", "main"), up.prose or tag in PROSE,
+            )
+        )
+        self.open[tag] += 1
 
     def _pop_to(self, at: int) -> None:
-        if any(t[0] not in INLINE for t in self.stack[at:]):
+        if any(t.tag not in INLINE for t in self.stack[at:]):
             self.block += 1
+        self.open.subtract(t.tag for t in self.stack[at:])
         del self.stack[at:]
 
     def _end_head(self) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == "head":
-                self._pop_to(i)
-                return
+        if self.open["head"]:
+            self._pop_to(max(i for i, t in enumerate(self.stack) if t.tag == "head"))
 
     def _judge(self, tag: str, attrs: list) -> tuple[bool, bool]:
         """Whether the element is out of bounds, and whether it has a sign of clutter."""
@@ -101,21 +127,22 @@ class _Page(HTMLParser):
         return False, tag == "form" or bool(signs) or got.get("role") in ROLES
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag not in IN_HEAD and tag != "head" and self.stack and (self.stack[-1][0] == "head" or tag == "body"):
+        if tag not in IN_HEAD and tag != "head" and self.stack and (self.stack[-1].tag == "head" or tag == "body"):
             self._end_head()
-        if tag in ENDS_P:
+        if tag in ENDS_P and self.open["p"]:
             for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == "p":
+                if self.stack[i].tag == "p":
                     self._pop_to(i)
                     break
-                if self.stack[i][0] not in INLINE:
+                if self.stack[i].tag not in INLINE:
+                    break
+        if any(self.open[t] for t in CLOSES.get(tag, ())):
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i].tag in CLOSES[tag]:
+                    self._pop_to(i)
+                    break
+                if self.stack[i].tag in SCOPES[tag]:
                     break
-        for i in range(len(self.stack) - 1, -1, -1) if tag in CLOSES else ():
-            if self.stack[i][0] in CLOSES[tag]:
-                self._pop_to(i)
-                break
-            if self.stack[i][0] in SCOPES[tag]:
-                break
         if tag == "br":
             self.handle_data(" ")
         elif tag not in INLINE:
@@ -127,25 +154,21 @@ class _Page(HTMLParser):
         self.handle_starttag(tag, attrs)  # a slash closes void elements only
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
+        for i in range(len(self.stack) - 1, -1, -1) if self.open[tag] else ():
+            if self.stack[i].tag == tag:
                 self._pop_to(i)
                 return
-            if tag in INLINE and self.stack[i][0] not in INLINE:
+            if tag in INLINE and self.stack[i].tag not in INLINE:
                 return
         if tag in ("p", "br"):
             self.block += 1
 
     def handle_data(self, data: str) -> None:
-        if self.stack and self.stack[-1][0] == "head" and data.strip():
+        if self.stack and self.stack[-1].tag == "head" and data.strip():
             self._end_head()
-        if self.stack and self.stack[-1][1]:
-            return
-        tags = [t[0] for t in self.stack]
-        head = "header" in tags and not HEADINGS.intersection(tags)
-        if not head and not ("header" in tags and "article" not in tags and "main" not in tags):
-            article, signs = self.stack[-1][2:] if self.stack else (0, ())
-            self.nodes.append(["/".join(tags), data, self.block, article, signs, "a" in tags])
+        up = self.stack[-1] if self.stack else _TOP
+        if not up.out and (not up.header or up.heading and up.body):
+            self.nodes.append([up.path, data, self.block, up.article, up.sign, up.link, up.prose])
 
 
 def ratios(nodes: list[list]) -> list[float]:
@@ -182,25 +205,28 @@ def main_text(html: str | None) -> str:
         by_article[n[3]] += size
     article = max((a for a in by_article if a), key=by_article.__getitem__, default=0)
     for n, size in zip(nodes, sizes, strict=True):
-        for e in n[4]:
-            by_sign[e] += size
-            both[e] += size * (n[3] == article != 0)
+        by_sign[n[4]] += size
+        both[n[4]] += size * (n[3] == article != 0)
+    for e in sorted(page.above, reverse=True):  # inner ones first: an element's text is also that of those around it
+        by_sign[page.above[e]] += by_sign[e]
+        both[page.above[e]] += both[e]
 
     def cluttered(e: int) -> bool:
         if by_sign[e] > MOST * whole:  # a wrapper, unless an article has its text elsewhere, as above long comments
             return article != 0 and by_article[article] - both[e] >= max(SHARE * (whole - by_sign[e]), APART * whole)
         return by_article[article] < SHARE * whole or both[e] <= MOST * by_article[article]
 
-    clutter = {e for e in by_sign if cluttered(e)}
-    if by_article[article] < SHARE * sum(s for n, s in zip(nodes, sizes, strict=True) if clutter.isdisjoint(n[4])):
+    clutter = {0: False}  # whether an element with a sign, or one around it, is clutter
+    for e in sorted(page.above):
+        clutter[e] = clutter[page.above[e]] or cluttered(e)
+    if by_article[article] < SHARE * sum(s for n, s in zip(nodes, sizes, strict=True) if not clutter[n[4]]):
         article = 0
     fused = ratios(nodes)
     least = LEAST * sum(s * f for s, f in zip(sizes, fused, strict=True)) / whole if whole else 0.0
     best: dict[int, float] = defaultdict(float)
     links, total = defaultdict(int), defaultdict(int)
     for n, size, f in zip(nodes, sizes, fused, strict=True):
-        signed = not clutter.isdisjoint(n[4])
-        f *= SIGNED if signed else MARKED if article and n[3] == article and not PROSE.isdisjoint(n[0].split("/")) else 1.0
+        f *= SIGNED if clutter[n[4]] else MARKED if article and n[3] == article and n[6] else 1.0
         if size:
             best[n[2]] = max(best[n[2]], f)
         total[n[2]] += size
