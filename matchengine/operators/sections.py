@@ -58,6 +58,15 @@ def section_of(line: Column, sections: dict[str, list[str]] | None = None) -> Co
     return F.element_at(F.concat(F.filter(heads, lambda x: x.isNotNull()), F.array(F.lit(None).cast("string"))), 1)
 
 
+def heading_like(ls: DataFrame, id_: str = "doc_id") -> DataFrame:
+    """Adds ``heads`` to lines: one to six words, mostly in capitals or with a list's first entry on the next line."""
+    after = F.lead("line").over(Window.partitionBy(id_).orderBy("pos"))
+    words = F.size(F.filter(F.split(F.trim("line"), r"\s+"), lambda w: w != ""))
+    letters, capitals = (F.length(F.regexp_replace("line", p, "")) for p in (r"[^\p{L}]", r"[^\p{Lu}]"))
+    listed = F.coalesce(after.rlike(r"^\s*[-•*0-9]\s+"), F.lit(False))
+    return ls.withColumn("heads", words.between(1, 6) & (((letters > 0) & (capitals > 0.65 * letters)) | listed))
+
+
 def carry(heads: DataFrame, id_: str = "doc_id") -> DataFrame:
     """(id, pos, line, section): the last heading's section up to each line; "other" before any."""
     w = Window.partitionBy(id_).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -68,6 +68,16 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, id_: str = "vec_
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def with_documents(hits: DataFrame, docs: DataFrame, id_: str = "id", doc_id: str = "doc_id") -> DataFrame:
+    """Hits with their documents' columns; those without a document are gone."""
+    return hits.join(docs, hits[id_] == docs[doc_id]).drop(docs[doc_id])
+
+
+def lexical_share(asked: Column, words: Column) -> Column:
+    """How many of a hundred of the query's different words a document has; 0 of a query without words."""
+    return F.when(F.size(asked) > 0, 100.0 * F.size(F.array_intersect(asked, words)) / F.size(asked)).otherwise(0.0)
+
+
 def search(hits: DataFrame, lexical: Column, wv: float = 0.3, wl: float = 0.7, min_score: float | None = None) -> DataFrame:
     """Hybrid scores of hits in vector order; min_score filters after the top-k, as it was ranked by distance."""
     from matchengine.functions.scoring import hybrid_score, vector_score

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from matchengine.plans import relational, scores, streams, texts, vectors  # noqa: F401
+from matchengine.plans import relational, rules, scores, streams, texts, vectors  # noqa: F401
