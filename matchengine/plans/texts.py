@@ -160,7 +160,15 @@ def h_keyword_lines(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.join_keywords(T.keyword_lines(t)).alias("keywords"))
 
 
-@query("h_chunk")
+# each step cuts one window behind its last line end, or else its last blank, or else at its end
+CHUNKS = """with recursive c(doc_id, rest, piece, nth) as (
+        select doc_id, text, '', 0 from documents where text is not null
+        union all select doc_id, rest[cut + 1 :], rest[1 : cut], nth + 1 from (select doc_id, rest, nth, case when length(rest) <= 800 then length(rest)
+            else coalesce(nullif(length(regexp_extract(rest[1 : 800], '(?s)^.*\n')), 0), nullif(length(regexp_extract(rest[1 : 800], '(?s)^.* ')), 0), 800) end as cut from c where rest <> '')),
+    k as (select doc_id, nth, trim(piece, ' ') as chunk from c where nth > 0)"""
+
+
+@query("h_chunk", CHUNKS + " select doc_id, cast(row_number() over (partition by doc_id order by nth) - 1 as int) as pos, chunk from k where chunk <> ''")
 def h_chunk(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(T.chunks("text")).alias("pos", "chunk"))
 
@@ -236,11 +244,25 @@ def a_gutter(spark, d):
     return files.gutters(l).select("doc_id", "gutter")
 
 
-@query("a_column_order")
+# even turns are the left column, odd ones the right; a page with little text on a side is read from top to bottom
+COLUMNS = """select conv_id as doc_id, string_agg(text, chr(10) order by case when two then turn % 2 else 0 end, turn, text) as text from (select *, least(l, r) >= 0.15 * (l + r) as two from
+    (select *, sum(case when turn % 2 = 0 then length(text) else 0 end) over (partition by conv_id) as l, sum(case when turn % 2 = 1 then length(text) else 0 end) over (partition by conv_id) as r from conversations)) group by 1"""
+
+
+@query("a_column_text", COLUMNS)
+def a_column_text(spark, d):
+    return columns(spark, d)
+
+
+@query("a_column_order", f"select doc_id, length(text) as n_chars from ({COLUMNS})")
 def a_column_order(spark, d):
+    return columns(spark, d).select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
+def columns(spark, d):
     x = F.when(F.col("turn") % 2 == 0, 50.0).otherwise(320.0)
     l = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.lit(1).alias("page"), x.alias("x0"), (x + 200).alias("x1"), (F.col("turn") * 12.0).alias("y0"), F.lit(595.0).alias("width"), "text")  # noqa: E741
-    return files.reading_order(l).select("doc_id", F.length("text").alias("n_chars"))
+    return files.reading_order(l).select("doc_id", "text")
 
 
 @query("a_markdown_sections", "select conv_id as doc_id, role as heading, trim(text) as body from conversations")
