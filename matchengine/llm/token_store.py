@@ -31,6 +31,7 @@ WRITER = {
     "parquet.enable.dictionary": "true",
     "parquet.dictionary.page.size": str(1 << 20),
 }
+STEP = 3_000_000  # bytes of text encoded at a time
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
@@ -40,7 +41,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end: int = 0, **writer: str
     def encode(batches):
         part, at, encoder = TaskContext.get().partitionId(), 0, byte_encoder(tokenizer)
         for batch in batches:
-            for rows, texts in pieces(batch, "text"):
+            for rows, texts in pieces(batch, "text", STEP):
                 ids, counts = encoder(texts)
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end).astype(np.int32)
