@@ -33,7 +33,8 @@ def decomposed() -> tuple[str, str, dict[str, str]]:
 def _spread(c: Column) -> Column:
     """Ligatures, fractions and the like as the characters they stand for. Only texts with a character that can be one
     (few below U+0250 are) are looked at character by character."""
-    pairs = F.create_map(*[F.lit(x) for pair in decomposed()[2].items() for x in pair])
+    # one literal for all pairs: as a literal each, thousands of them would slow down the planning of every query
+    pairs = F.str_to_map(F.lit("\u0001".join(f"{c}\u0002{plain}" for c, plain in decomposed()[2].items())), F.lit("\u0001"), F.lit("\u0002"))
     letters = F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x))
     return F.when(c.rlike(r"[\u00BC-\u00BE\u0132\u0133\u01C4-\u01CC\u01F1-\u01F3\u0250-\x{10FFFF}]"), F.array_join(letters, "")).otherwise(c)
 
