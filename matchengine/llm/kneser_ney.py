@@ -1,13 +1,15 @@
-"""Language-model scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""Language-model scoring: an interpolated modified Kneser-Ney n-gram model of any order, counted in Spark.
 
-Workers reduce their texts to distinct word pairs, sent as compressed blocks to shards that depend on both words, so
-that a word before very many others is spread over many shards. Each shard adds up its pairs and writes them as
-sorted arrays of 64-bit hashes and counts; what it learns about single words (contexts, continuations) goes on to
-word shards, which write the same kind of arrays. Scoring memory-maps these files in every worker: the operating
-system holds the pages in use, no worker holds the model. Only a dozen totals reach the driver.
+Workers reduce their texts to distinct n-grams, sent as compressed blocks to shards. Each shard adds up its n-grams and
+writes them as sorted arrays of 64-bit hashes and counts; what it learns about shorter grams (as contexts and as
+continuations) goes on to the shards of the next lower order, which do the same, down to single words. Scoring
+memory-maps these files in every worker: the operating system holds the pages in use, no worker holds the model. Only
+a few dozen totals reach the driver.
 
-Words are 48-bit hashes. The order is two: a third order's distinct triples (four in five tokens here) would
-shuffle more than the texts themselves.
+Grams meet at the word before the last, spread by the one next to it, so that a word before very many others is dealt
+over many shards. Shards grow in number with the bytes of text, the spread with the square root of the shards.
+
+Words are 48-bit hashes. A text is preceded by as many starts as a context has words.
 
 Defined cases: a null text is empty: one token, the end. A null id counts as held out. With nothing to learn from,
 every score is that of the uniform model over one word. Repeated rows count each; an empty table gives no rows.
@@ -15,6 +17,7 @@ every score is that of the uniform model over one word. Repeated rows count each
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 from dataclasses import dataclass
@@ -30,10 +33,12 @@ from pyspark.sql import functions as F
 from matchengine.llm.bpe import pieces
 from matchengine.llm.store import filesystem, local_path, put, shared_dir
 
-SPREAD = 8  # shards over which the words behind one word are spread
+ORDER = 2
+SPREAD = 8  # least number of shards over which the words behind one word are spread
+SHARD_TEXT = 16_000_000  # bytes of text a shard
 BITS = 48
 END, START = (xxhash.xxh3_64_intdigest(x) >> (64 - BITS) for x in (b" end", b" start"))  # no word has a blank
-BLOCK = 5_000_000  # tokens reduced at a time
+BLOCK = 5_000_000  # n-grams times order over two, reduced at a time
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,12 +55,20 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words, ends[1:], np.uint64(END)), np.diff(ends) + 1
 
 
-def before(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The word before each, the start at the beginning of a text."""
+def before(words: np.ndarray, counts: np.ndarray, start: int = START) -> np.ndarray:
+    """What stands before each, the start at the beginning of a text."""
     out = np.empty_like(words)
     out[1:] = words[:-1]
     if len(words):
-        out[np.cumsum(counts) - counts] = START
+        out[np.cumsum(counts) - counts] = start
+    return out
+
+
+def grams(words: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words of the n-gram that ends at each token, first word first."""
+    out = [words]
+    for _ in range(order - 1):
+        out.insert(0, before(out[0], counts))
     return out
 
 
@@ -66,9 +79,20 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def pair_shard(v: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
+def gram_keys(words: list[np.ndarray]) -> np.ndarray:
+    keys = words[0]
+    for w in words[1:]:
+        keys = pair_keys(keys, w)
+    return keys
+
+
+def gram_shard(words: list[np.ndarray], shards: int, spread: int) -> np.ndarray:
+    """Of longer grams by the word before the last and the one next to it; of words, rising with the hash."""
+    if len(words) == 1:
+        return word_shard(words[0], shards)
     mix = lambda x: (x * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)
-    return (mix(v) % np.uint64(shards // SPREAD) * np.uint64(SPREAD) + mix(w) % np.uint64(SPREAD)).astype(np.int64)
+    by, then = words[-2], words[-3] if len(words) > 2 else words[-1]
+    return (mix(by) % np.uint64(shards // spread) * np.uint64(spread) + mix(then) % np.uint64(spread)).astype(np.int64)
 
 
 def word_shard(w: np.ndarray, shards: int) -> np.ndarray:
@@ -116,24 +140,43 @@ def unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
 
 
 def shard_file(keys: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Entries, the counts' bytes each, sorted keys, columns of counts."""
-    wide = max(map(width, columns))
-    return len(keys).to_bytes(8, "little") + wide.to_bytes(8, "little") + keys.astype("<u8").tobytes() + b"".join(c.astype(f"<u{wide}").tobytes() for c in columns)
+    """Entries, entries of each column beyond 254, sorted keys, their places and counts, and the columns in one byte each."""
+    large = [np.flatnonzero(c > 254) for c in columns]
+    out = [np.array([len(keys), *map(len, large)], "<u8"), keys.astype("<u8")]
+    for c, at in zip(columns, large, strict=True):
+        out += [at.astype("<u8"), c[at].astype("<u8")]
+    return b"".join(x.tobytes() for x in [*out, *(np.minimum(c, 255).astype(np.uint8) for c in columns)])
+
+
+@dataclass(frozen=True)
+class Column:
+    """Counts of a mapped shard."""
+
+    small: np.ndarray  # 255 of larger ones
+    places: np.ndarray  # of larger ones, rising
+    large: np.ndarray
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.small[at].astype(np.int64)
+        more = np.flatnonzero(out == 255)
+        if len(more):
+            out[more] = self.large[np.searchsorted(self.places, at[more])]
+        return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """path: the shared folder of shards; the totals of the training tokens."""
+    """path: the shared folder of shards; the totals of the training tokens. Tuples have one entry an order, from one on."""
 
     path: str
-    pairs: int  # shards
-    words: int  # shards
+    order: int
+    shards: int
+    spread: int
     n: int  # training tokens
     v: int  # distinct
     texts: int
-    bigrams: int
-    pair_discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
+    bigrams: int  # distinct
+    discounts: tuple[tuple[float, float, float], ...]
     word_kinds: tuple[int, int, int]  # words behind one, two, and more different words
 
 
@@ -145,42 +188,71 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k - 0.05) for k, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
-def fit(docs: DataFrame) -> Model:
-    """Learns from every row of ``docs``."""
-    spark = docs.sparkSession
-    path = shared_dir(spark, "kneser-ney")
-    pairs = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // SPREAD) * SPREAD
-    words = pairs
+def dealt(words: list[np.ndarray], counts: list[np.ndarray], shards: int, spread: int):
+    """(shard, its block of distinct grams with their counts added up) of grams and counts."""
+    shard = gram_shard(words, shards, spread).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+    sorting = packed(words)
+    order = np.lexsort((*sorting[::-1], shard))
+    sorting, shard = [c[order] for c in sorting], shard[order]
+    new = np.ones(len(order), bool)
+    new[1:] = shard[1:] != shard[:-1]
+    for c in sorting:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    sorting, shard = [c[first] for c in sorting], shard[first]
+    counts = [np.add.reduceat(c[order], first) if len(first) else c for c in counts]
+    cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else np.zeros(1, np.int64)
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(shard[a]), pack(*(c[a:z] for c in sorting), *(c[a:z] for c in counts))
+
+
+def packed(words: list[np.ndarray]) -> list[np.ndarray]:
+    """The order of columns in blocks: of a gram's words the last but one comes first, which is nearly constant in a shard."""
+    return [*words[-2::-1], words[-1]] if len(words) > 1 else words
+
+
+def unpacked(blobs: list[bytes], order: int, columns: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """(words, counts) of blocks."""
+    parts = [np.concatenate(x) for x in zip(*(unpack(b, "w" * order + "i" * columns) for b in blobs), strict=True)]
+    return [*parts[: order - 1][::-1], parts[order - 1]], parts[order:]
+
+
+def fit(docs: DataFrame, order: int = ORDER) -> Model:
+    """Learns grams of up to ``order`` words, two or more, from every row of ``docs``."""
+    if order < 2:
+        raise ValueError("the order has to be two or more")
+    path = shared_dir(docs.sparkSession, "kneser-ney")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first().size
+    need = max(SPREAD, -(-size // SHARD_TEXT))
+    spread = max(SPREAD, math.isqrt(need))
+    shards = -(-need // spread) * spread
+    stats = [f"n{k}_{i}" for k in range(2, order + 1) for i in (1, 2, 3, 4)]  # grams of k words found i times
 
     def count(batches):
         held, size = [], 0
 
         def blocks():
-            v, w = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            keys = pair_keys(v, w)
-            first, _, many = total(order := np.argsort(keys), keys, np.ones(len(keys), np.int64))
-            v, w = v[order][first], w[order][first]
-            shard = pair_shard(v, w, pairs)
-            order = np.lexsort((w, v, shard))
-            ends = np.searchsorted(shard[order], np.arange(pairs + 1))
-            part = [(p, order[a:z]) for p, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.int32()), pa.array([pack(v[o], w[o], many[o]) for _, o in part], pa.binary())], ["shard", "block"])
+            words = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            part = list(dealt(words, [np.ones(len(words[0]), np.int64)], shards, spread))
+            kinds = [pa.array(np.zeros(len(part), np.int64)) for _ in stats]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.int32()), pa.array([b for _, b in part], pa.binary()), *kinds], names)
 
         for batch in batches:
             for _, texts in pieces(batch, "text"):
-                w, counts = tokens(texts)
-                held.append((before(w, counts), w))
-                size += len(w)
-                if size >= BLOCK:
+                held.append(grams(*tokens(texts), order))
+                size += len(held[-1][0])
+                if size >= 2 * BLOCK // order:
                     yield blocks()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield blocks()
 
-    def by_shard(batches):
-        """(shard, its blocks), of rows in order of shard."""
+    def by_shard(batches, kinds):
+        """(shard, its blocks), of rows in order of shard; adds up the rows' other columns."""
         now, held = None, []
         for b in batches:
+            kinds += [pc.sum(b.column(i)).as_py() or 0 for i in range(2, 2 + len(stats))]
             for p, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if p != now and held:
                     yield now, held
@@ -190,49 +262,51 @@ def fit(docs: DataFrame) -> Model:
         if held:
             yield now, held
 
-    def add_pairs(batches):
-        for p, blobs in by_shard(batches):
-            v, w, c = (np.concatenate(x) for x in zip(*(unpack(b, "wwi") for b in blobs), strict=True))
-            keys = pair_keys(v, w)
-            first, keys, c = total(order := np.argsort(keys), keys, c.astype(np.int64))
-            v, w = v[order][first], w[order][first]
-            put(f"{path}/pairs-{p}", shard_file(keys, c))
-            kinds = [int((c == k).sum()) for k in (1, 2, 3, 4)]
-            one, zero = np.ones(len(v), np.int64), np.zeros(len(v), np.int64)
-            both = np.concatenate([v, w])
-            columns = [np.concatenate(x) for x in ((c, zero), (c == 1, zero), (c == 2, zero), (c > 2, zero), (zero, one))]
-            _, both, *columns = total(np.argsort(both), both, *(x.astype(np.int64) for x in columns))
-            q = word_shard(both, words)
-            ends = np.searchsorted(q, np.arange(words + 1))
-            part = [(s, a, z) for s, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _, _ in part], pa.int32()), pa.array([pack(both[a:z], *(x[a:z] for x in columns)) for _, a, z in part], pa.binary())]
-                + [pa.array([k] + [0] * (len(part) - 1), pa.int64()) for k in kinds],
-                ["shard", "block", "n1", "n2", "n3", "n4"],
-            )
+    def add(k):
+        """Grams of k words, k above one, into a file, and what they say of shorter ones."""
+
+        def run(batches):
+            kinds = np.zeros(len(stats), np.int64)
+            for p, blobs in by_shard(batches, kinds):
+                words, counts = unpacked(blobs, k, 1 if k == order else 6)
+                by = np.argsort(keys := gram_keys(words))
+                first, keys, *counts = total(by, keys, *counts)
+                by = by[first]
+                words = [w[by] for w in words]
+                put(f"{path}/{k}-{p}", shard_file(keys, *counts[:5]))
+                c, raw = counts[0], counts[0] if k == order else counts[5]
+                kinds[4 * (k - 2) : 4 * (k - 1)] += [int((c == i).sum()) for i in (1, 2, 3, 4)]
+                zero, real = np.zeros(len(c), np.int64), c > 0
+                heads = [zero, c, *(x.astype(np.int64) for x in (c == 1, c == 2, c > 2)), raw if k == order else zero]
+                tails = [real.astype(np.int64), zero, zero, zero, zero, zero if k == order else raw]
+                for part in (dealt(words[:-1], heads, shards, spread), dealt(words[1:], tails, shards, spread)):
+                    for q, block in part:
+                        yield pa.RecordBatch.from_arrays([pa.array([q], pa.int32()), pa.array([block], pa.binary()), *(pa.array([int(x)], pa.int64()) for x in kinds)], names)
+                        kinds[:] = 0
+
+        return run
 
     def add_words(batches):
-        kinds = np.zeros(4, np.int64)
-
-        def seen(batches):
-            for b in batches:
-                kinds[:] += [pc.sum(b.column(i)).as_py() or 0 for i in range(2, 6)]
-                yield b
-
-        for q, blobs in by_shard(seen(batches)):
-            w, *columns = (np.concatenate(x) for x in zip(*(unpack(b, "wiiiii") for b in blobs), strict=True))
-            _, w, tot, k1, k2, k3, cont = total(np.argsort(w), w, *(c.astype(np.int64) for c in columns))
-            put(f"{path}/words-{q}", shard_file(w, tot, k1, k2, k3, cont))
-            starts = int(tot[w == START].sum())
-            row = [int(tot.sum()), int((cont > 0).sum()), starts, int(cont.sum()), *(int((cont == k).sum()) for k in (1, 2, 3, 4)), int((cont > 2).sum()), *kinds.tolist()]
+        kinds = np.zeros(len(stats), np.int64)
+        for q, blobs in by_shard(batches, kinds):
+            words, counts = unpacked(blobs, 1, 6)
+            _, w, *counts = total(np.argsort(words[0]), words[0], *counts)
+            put(f"{path}/1-{q}", shard_file(w, *counts))
+            cont, raw = counts[0], counts[5]
+            row = [int(raw.sum()), int((cont > 0).sum()), int(raw[w == START].sum()), int(cont.sum()), *(int((cont == i).sum()) for i in (1, 2, 3, 4)), int((cont > 2).sum()), *kinds.tolist()]
             kinds[:] = 0
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], [*totals, *stats])
 
-    names = ["n", "v", "texts", "bigrams", "c1", "c2", "c3", "c4", "more", "n1", "n2", "n3", "n4"]
-    first = docs.select("text").mapInArrow(count, "shard int, block binary").repartition(pairs, "shard").sortWithinPartitions("shard")
-    second = first.mapInArrow(add_pairs, "shard int, block binary, n1 long, n2 long, n3 long, n4 long").repartition(words, "shard").sortWithinPartitions("shard")
-    t = second.mapInArrow(add_words, ", ".join(f"{x} long" for x in names)).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names]).first()
-    return Model(path, pairs, words, t.n, t.v, t.texts, t.bigrams, discounts(t.n1, t.n2, t.n3, t.n4), discounts(t.c1, t.c2, t.c3, t.c4), (t.c1, t.c2, t.more))
+    names = ["shard", "block", *stats]
+    totals = ["n", "v", "texts", "bigrams", "c1", "c2", "c3", "c4", "more"]
+    longs = lambda columns: ", ".join(f"{x} long" for x in columns)
+    found = docs.select("text").mapInArrow(count, f"shard int, block binary, {longs(stats)}")
+    at_shard = lambda df: df.repartition(shards, "shard").sortWithinPartitions("shard")
+    for k in range(order, 1, -1):
+        found = at_shard(found).mapInArrow(add(k), found.schema)
+    t = at_shard(found).mapInArrow(add_words, longs([*totals, *stats])).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in [*totals, *stats]]).first()
+    less = [discounts(t.c1, t.c2, t.c3, t.c4), *(discounts(*(t[f"n{k}_{i}"] for i in (1, 2, 3, 4))) for k in range(2, order + 1))]
+    return Model(path, order, shards, spread, t.n, t.v, t.texts, t.bigrams, tuple(less), (t.c1, t.c2, t.more))
 
 
 class Shards:
@@ -241,7 +315,7 @@ class Shards:
     def __init__(self, path: str):
         self.path, self.open = path, {}
 
-    def arrays(self, name: str, columns: int) -> list[np.ndarray] | None:
+    def arrays(self, name: str, columns: int) -> list | None:
         """Sorted hashes and their columns; None of a shard that has nothing."""
         if name not in self.open:
             where = local_path(f"{self.path}/{name}")
@@ -257,15 +331,17 @@ class Shards:
                 self.open[name] = None
             else:
                 data = np.memmap(where, np.uint8, "r")
-                n, wide = (int.from_bytes(data[k : k + 8].tobytes(), "little") for k in (0, 8))
-                at = 16 + 8 * n
-                self.open[name] = [data[16:at].view("<u8"), *(data[at + wide * n * i : at + wide * n * (i + 1)].view(f"<u{wide}") for i in range(columns))]
+                n, *large = data[: 8 * (1 + columns)].view("<u8").tolist()
+                cut = np.cumsum([8 * (1 + columns), 8 * n, *(8 * x for x in large for _ in (0, 1)), *(n for _ in large)])
+                part = [data[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
+                whole = [x.view("<u8") for x in part[: 1 + 2 * columns]]
+                self.open[name] = [whole[0], *(Column(part[1 + 2 * columns + i], whole[1 + 2 * i], whole[2 + 2 * i]) for i in range(columns))]
         return self.open[name]
 
     def find(self, kind: str, shard: np.ndarray, keys: np.ndarray, columns: int) -> list[np.ndarray]:
         """The columns of each key, zeros of one that is not there."""
         out = [np.zeros(len(keys), np.int64) for _ in range(columns)]
-        order = np.lexsort((keys, shard))
+        order = np.argsort(shard.astype(np.uint16), kind="stable") if len(shard) and shard.max() < 1 << 16 else np.argsort(shard, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
             found = self.arrays(f"{kind}-{shard[part[0]]}", columns)
             if found is None:
@@ -296,28 +372,37 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         shards = shards_of(m.path)
-        rest = sum(k * d for k, d in zip(m.word_kinds, m.word_discounts, strict=True)) / m.bigrams if m.bigrams else 1.0
+        rest = sum(k * d for k, d in zip(m.word_kinds, m.discounts[0], strict=True)) / m.bigrams if m.bigrams else 1.0
         for batch in batches:
             for rows, texts in pieces(batch, "text"):
                 w, counts = tokens(texts)
-                v = before(w, counts)
-                names, which = np.unique(np.concatenate([w, v]), return_inverse=True)
-                tot, k1, k2, k3, cont = shards.find("words", word_shard(names, m.words), names, 5)
-                c1 = np.where(names == START, 0, np.where(names == END, m.texts, tot))
-                single = (np.maximum(cont - discount(cont, m.word_discounts), 0) / m.bigrams if m.bigrams else 0) + rest / (m.v + 1)
-                d = m.pair_discounts
-                back = np.where(tot > 0, (d[0] * k1 + d[1] * k2 + d[2] * k3) / np.maximum(tot, 1), 1.0)
-                keys = pair_keys(v, w)
-                _, first, pair = np.unique(keys, return_index=True, return_inverse=True)
-                (c2,) = shards.find("pairs", pair_shard(v[first], w[first], m.pairs), keys[first], 1)
-                iw, iv = which[: len(w)], which[len(w) :]
-                a, b = iw[first], iv[first]
-                prob = np.maximum(c2 - discount(c2, d), 0) / np.maximum(tot[b], 1) + back[b] * single[a]
-                base = np.log10((c1 + 0.1) / (m.n + 0.1 * (m.v + 1)))
                 at = np.cumsum(counts) - counts
+                words, keys = [w], w
+                for k in range(1, m.order + 1):
+                    # the key and words of the starts come last: the context of every text's first token
+                    opening = gram_keys([np.array([START], np.uint64)] * k)
+                    names, first, which = np.unique(np.append(keys, opening), return_index=True, return_inverse=True)
+                    some = [np.append(x, np.uint64(START))[first] for x in words]
+                    found = shards.find(str(k), gram_shard(some, m.shards, m.spread), names, 1 if k == m.order else 6 if k == 1 else 5)
+                    here = which[:-1]
+                    less, c = m.discounts[k - 1], found[0]
+                    if k == 1:
+                        c1 = np.where(names == START, 0, np.where(names == END, m.texts, found[5]))
+                        prob = (np.maximum(c - discount(c, less), 0) / max(m.bigrams, 1) + rest / (m.v + 1))[here]
+                        known, base = (c1 > 0)[here], np.log10((c1 + 0.1) / (m.n + 0.1 * (m.v + 1)))[here]
+                    else:
+                        seen = tot[context]
+                        prob = np.where(seen > 0, np.maximum(c - discount(c, less), 0)[here] / np.maximum(seen, 1), 0) + back[context] * prob
+                    if k < m.order:
+                        _, tot, k1, k2, k3 = found[:5]
+                        d = m.discounts[k]
+                        back = np.where(tot > 0, (d[0] * k1 + d[1] * k2 + d[2] * k3) / np.maximum(tot, 1), 1.0)
+                        context = before(here, counts, which[-1])
+                        words = grams(w, counts, k + 1)
+                        keys = pair_keys(names[context], w)
                 add = lambda x: np.add.reduceat(x, at) if len(at) else x[:0]  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(2), pa.array(counts.astype(np.int64)), pa.array(add((c1[iw] > 0).astype(np.int64))), pa.array(add(base[iw])), pa.array(add(np.log10(prob)[pair]))],
+                    [rows.column(0), rows.column(2), pa.array(counts.astype(np.int64)), pa.array(add(known.astype(np.int64))), pa.array(add(base)), pa.array(add(np.log10(prob)))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
                 )
 
