@@ -108,35 +108,37 @@ def total(order: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> list[np.
 
 
 def width(c: np.ndarray) -> int:
-    """Bytes that hold every count of a column: four where they do, else eight."""
-    return 8 if len(c) and int(c.max()) >> 32 else 4
+    """Bytes that hold every number of a column."""
+    return max(1, -(-int(c.max()).bit_length() // 8)) if len(c) else 1
+
+
+def planes(c: np.ndarray, wide: int) -> bytes:
+    """The low bytes of a column, byte by byte."""
+    return bytes([wide]) + np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes()
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Compressed columns as byte planes: 48-bit hashes (unsigned), the first column's as differences, and counts (signed)."""
-    out = [len(columns[0]).to_bytes(8, "little")]
-    for i, c in enumerate(columns):
-        hashes = c.dtype == np.uint64
-        if hashes and i == 0:
-            c = np.diff(c, prepend=np.uint64(0))
-        wide = BITS // 8 if hashes else width(c)
-        out.append(bytes([wide]))
-        out.append(np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T).tobytes())
+    """Compressed columns: 48-bit hashes (unsigned) as places in a list of those that occur, then counts (signed)."""
+    hashes = [c for c in columns if c.dtype == np.uint64]
+    names, which = np.unique(np.concatenate(hashes), return_inverse=True)
+    out = [len(names).to_bytes(8, "little"), len(columns[0]).to_bytes(8, "little"), planes(np.diff(names, prepend=np.uint64(0)), BITS // 8)]
+    for c in [*which.reshape(len(hashes), -1), *columns[len(hashes) :]]:
+        out.append(planes(c, width(c)))
     return zstandard.compress(b"".join(out), 1)
 
 
 def unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
     """Columns as pack() got them; ``w`` stands for hashes, ``i`` for counts."""
     data = np.frombuffer(zstandard.decompress(blob), np.uint8)
-    n, at, out = int.from_bytes(data[:8].tobytes(), "little"), 8, []
-    for i, k in enumerate(kinds):
+    sizes, at, out = data[:16].view("<u8").tolist(), 16, []
+    for n in [sizes[0], *(sizes[1] for _ in kinds)]:
         wide, at = int(data[at]), at + 1
         whole = np.zeros((n, 8), np.uint8)
         whole[:, :wide] = data[at : at + wide * n].reshape(wide, n).T
         at += wide * n
-        c = whole.view("<u8").ravel()
-        out.append(np.cumsum(c, dtype=np.uint64) if k == "w" and i == 0 else c if k == "w" else c.astype(np.int64))
-    return out
+        out.append(whole.view("<i8").ravel())
+    names = np.cumsum(out[0].view("<u8"), dtype=np.uint64)
+    return [names[c] if k == "w" else c for k, c in zip(kinds, out[1:], strict=True)]
 
 
 def shard_file(keys: np.ndarray, *columns: np.ndarray) -> bytes:
