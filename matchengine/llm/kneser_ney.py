@@ -38,7 +38,7 @@ SPREAD = 8  # least number of shards over which the words behind one word are sp
 SHARD_TEXT = 16_000_000  # bytes of text a shard
 BITS = 48
 END, START = (xxhash.xxh3_64_intdigest(x) >> (64 - BITS) for x in (b" end", b" start"))  # no word has a blank
-BLOCK = 5_000_000  # n-grams times order over two, reduced at a time
+BLOCK = 3_000_000  # n-grams times order over two, reduced at a time
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
