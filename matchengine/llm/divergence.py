@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchengine.llm.bpe import pieces
+from matchengine.llm.buffers import body_of, cut
 from matchengine.llm.store import materialise
 
 LEAST_DOCS = 10
@@ -41,14 +42,7 @@ LOWERED = np.where(_upper, _bytes + 32, np.where((_bytes >= 97) & (_bytes <= 122
 def grouped(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(different terms, each occurrence's number among them, its first byte's place) of texts that begin at ``starts``."""
     low = LOWERED[data]
-    inside = low != 0
-    first = np.zeros(len(low) + 1, bool)
-    first[starts] = True
-    first[-1] = True
-    after = np.append(inside[1:], False)
-    before = np.append(False, inside[:-1]) if len(low) else inside
-    begin = np.flatnonzero(inside & (~before | first[:-1]))
-    end = np.flatnonzero(inside & (~after | first[1:])) + 1
+    begin, end = cut(low != 0, starts)
     if not len(begin):
         return [], np.zeros(0, np.int64), begin
     body, digest = low.tobytes(), xxhash.xxh3_64_intdigest
@@ -91,17 +85,14 @@ def counted(docs: DataFrame) -> DataFrame:
 
     def of_piece(code: np.ndarray, texts: pa.Array):
         """(group's code, term, n, docs) of texts of those groups."""
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        body = texts.buffers()[2]
-        if offsets[-1] - offsets[0] > STEP:  # one long text
+        data, starts = body_of(texts)
+        if len(texts) == 1 and len(data) > STEP:
             total: dict[bytes, int] = {}
-            for part in _long(body.to_pybytes()[offsets[0] : offsets[-1]]):
+            for part in _long(data.tobytes()):
                 terms, number, _ = grouped(np.frombuffer(part, np.uint8), np.zeros(1, np.int64))
                 for t, n in zip(terms, np.bincount(number, minlength=len(terms)).tolist(), strict=True):
                     total[t] = total.get(t, 0) + n
             return np.full(len(total), code[0]), list(total), np.fromiter(total.values(), np.int64, len(total)), np.ones(len(total), np.int64)
-        data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.zeros(0, np.uint8)
-        starts = offsets - offsets[0]
         terms, number, begin = grouped(data, starts[:-1])
         if not terms:
             return np.zeros(0, np.int64), [], np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -119,7 +110,7 @@ def counted(docs: DataFrame) -> DataFrame:
             for rows, texts in pieces(batch, "text", STEP):
                 names: dict[tuple[str, str], int] = {}
                 code = np.array([names.setdefault(p, len(names)) for p in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)], np.int64)
-                group, terms, n, many = of_piece(code, pa.concat_arrays([texts]))
+                group, terms, n, many = of_piece(code, texts)
                 every = list(names)
                 group = np.concatenate([group, np.arange(len(every))])
                 zero = np.zeros(len(every), np.int64)

@@ -18,13 +18,15 @@ from matchengine.llm.mixing import op5_mixing
 from matchengine.llm.quality import op10_quality_rules
 from matchengine.llm.quartile_digest import op6_fingerprints
 from matchengine.llm.simhash import op2_simhash
+from matchengine.llm.substring_dedup import SQL as SUBSTRING_SQL
+from matchengine.llm.substring_dedup import op13_substring_dedup
 from matchengine.llm.suffix_dedup import op7_suffix_dedup
 from matchengine.llm.token_counts import op1_token_counts
 from matchengine.llm.token_store import op9_token_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_simhash, op3_html, op4_bpe, op5_mixing, op6_fingerprints, op7_suffix_dedup, op8_lm_score, op9_token_ids, op10_quality_rules, op11_merkle_manifest, op12_source_divergence)
+    for f in (op1_token_counts, op2_simhash, op3_html, op4_bpe, op5_mixing, op6_fingerprints, op7_suffix_dedup, op8_lm_score, op9_token_ids, op10_quality_rules, op11_merkle_manifest, op12_source_divergence, op13_substring_dedup)
 }
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": MERKLE_SQL, "op12_source_divergence": DIVERGENCE_SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": MERKLE_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op13_substring_dedup": SUBSTRING_SQL, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
