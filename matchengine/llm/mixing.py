@@ -5,8 +5,8 @@ each shard then draws its quota from its own permuted blocks, so no two draws me
 A source's hot third of all rows is spread over all shards. Only DataFrame functions; no Python on executors.
 
 Defined cases: null or blank texts have size 0 and take 0; a null source is a source of its own, the last; repeated
-rows are one document each, told apart by ``occurrence``; an empty table gives no rows; columns that clash with
-a result's name are replaced.
+rows are one document each, told apart by ``occurrence``; an empty table gives no rows; mix() looks at
+no other columns, mixed_documents() gives them back as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchengine.llm.columns import renamed
 from matchengine.llm.store import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -151,16 +152,18 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     shard by shard, shuffled in each: by a hash of their position and the copy's number."""
     plan = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "passes", "blocks", F.col("shard").alias("_shard"), F.col("position").alias("_at"))
     plan = plan.withColumn("_o", F.row_number().over(Window.partitionBy("_id", "_tie").orderBy("passes", F.size("blocks"))))
-    keyed = docs.withColumn("_t", F.xxhash64("source", "text"))
-    keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("_t")))
-    both = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["_id"]) & (keyed["_t"] == plan["_tie"]) & (keyed["_n"] == plan["_o"]))
-    words = F.regexp_extract_all(F.col("text"), F.lit(f"[\\x20\\x09-\\x0D]*{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
+    inner, own = renamed(docs)
+    id_, text = own["doc_id"], own["text"]
+    keyed = inner.withColumn("_t", F.xxhash64(own["source"], text))
+    keyed = keyed.withColumn("_n", F.row_number().over(Window.partitionBy(id_, "_t").orderBy("_t")))
+    both = keyed.join(plan, keyed[id_].eqNullSafe(plan["_id"]) & (keyed["_t"] == plan["_tie"]) & (keyed["_n"] == plan["_o"]))
+    words = F.regexp_extract_all(F.col(text), F.lit(f"[\\x20\\x09-\\x0D]*{WORD}[\\x20\\x09-\\x0D]*"), F.lit(0))
     both = both.withColumn("_words", F.when(F.size("blocks") > 0, words))
     part = F.concat_ws("", F.flatten(F.transform("blocks", lambda b: F.slice("_words", (b * BLOCK + 1).cast("int"), F.lit(BLOCK)))))
-    pieces = F.concat(F.array_repeat(F.col("text"), F.col("passes").cast("int")), F.when(F.size("blocks") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
+    pieces = F.concat(F.array_repeat(F.col(text), F.col("passes").cast("int")), F.when(F.size("blocks") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))
     out = both.select("*", F.posexplode(pieces).alias("_copy", "_piece")).sortWithinPartitions("_shard", F.xxhash64("_at", "_copy"))
     fixed = {"text": F.col("_piece"), "n_chars": F.length("_piece").cast("long")}
-    return out.select(*[fixed[c].alias(c) if c in fixed else keyed[c] for c in docs.columns])
+    return out.select(*[fixed.get(n, F.col(c)).alias(n) for n, c in own.items()])
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ only the links of a spanning forest leave the task. A bucket with very many diff
 of four 8-bit blocks of what its key leaves open, which again loses no link; 65,536 is then the most it can hold.
 
 Defined cases: null and blank texts have fingerprint 0 and are linked like any other; texts under three words are
-one shingle; repeated rows fall together; an empty table gives no rows; other columns are not looked at. Rows with a
+one shingle; repeated rows fall together; an empty table gives no rows; texts of any length are hashed a
+shingle at a time; deduplicated() gives other columns back as they are, whatever their names. Rows with a
 null id are linked like any other, and a group of nothing else is kept as one row; rows that share an id but not the
 text are separate rows.
 """
@@ -20,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchengine.llm.columns import renamed
 from matchengine.llm.components import components
 from matchengine.llm.store import materialise
 
@@ -170,7 +172,8 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """The rows with ``row``, a hash of all their columns; only wholly equal rows share it."""
-    return docs.withColumn("row", F.xxhash64(*docs.columns, *[F.col(f"`{c}`").isNull() for c in docs.columns]))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.withColumn("row", F.xxhash64(*every, *[c.isNull() for c in every]))
 
 
 def components_of(prints: DataFrame) -> DataFrame:
@@ -193,14 +196,16 @@ def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
     """The row of the smallest id of each group, of (row, id, group), with all its columns; null ids come last, and of
     rows with one id that of the smallest hash is taken. Wholly equal rows give a single one."""
     keep = named.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("o")).select(F.col("o.row").alias("row"))
-    return keyed(docs).join(keep, "row", "left_semi").select(*docs.columns).distinct()
+    inner, own = renamed(docs)
+    return keyed(inner).join(keep, "row", "left_semi").select(*own.values()).distinct().toDF(*own)
 
 
 def deduplicated(docs: DataFrame, words: int = 3) -> DataFrame:
     """One row of each group. Two texts under one id are two rows, each in its own group."""
-    rows = keyed(docs)
-    prints = materialise(fingerprints(rows.select(F.col("row").alias("doc_id"), "text"), words), "fingerprints")
-    ids = rows.select("row", F.col("doc_id").cast("long").alias("id")).distinct()
+    inner, own = renamed(docs)
+    rows = keyed(inner)
+    prints = materialise(fingerprints(rows.select(F.col("row").alias("doc_id"), F.col(own["text"]).alias("text")), words), "fingerprints")
+    ids = rows.select("row", F.col(own["doc_id"]).cast("long").alias("id")).distinct()
     named = prints.withColumnRenamed("doc_id", "row").distinct().join(components_of(prints), "fp")
     return one_of_each(docs, named.join(ids, "row").select("row", "id", "group"))
 

@@ -9,7 +9,8 @@ length are repeats. An anchor with very many different segments (a passage that
 sorted in one task: its windows meet by a 128-bit hash, partly counted before they are shuffled.
 
 Defined cases: a null text is empty; texts shorter than ``length`` keep all; equal rows are copies of each other;
-strings are judged on the input; an empty table gives no rows; other columns are kept by deduplicated().
+strings are judged on the input; an empty table gives no rows; other columns are kept by
+deduplicated(), whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchengine.llm.bpe import pieces
+from matchengine.llm.columns import renamed
 from matchengine.llm.store import materialise
 
 LENGTH = 200
@@ -285,29 +287,30 @@ def covered(size: int, spans: list, length: int) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    own = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_g", tag("text"))
+    """``docs`` as renamed() does, with ``spans``."""
+    inner, names = renamed(docs)
+    own = inner.withColumn("_d", F.coalesce(F.col(names["doc_id"]).cast("long"), F.lit(-(1 << 63)))).withColumn("_g", tag(names["text"]))
     found = repeats(docs, length).select(F.col("doc_id").alias("_fd"), F.col("tag").alias("_fg"), "spans")
     return own.join(found, (F.col("_d") == F.col("_fd")) & (F.col("_g") == F.col("_fg")), "left").drop("_d", "_g", "_fd", "_fg")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents without the bytes that repeat; of a character cut in two the rest goes as well. n_chars is counted anew."""
-    names = docs.columns
-    kept = F.col("text")
+    inner, own = renamed(docs)
+    names, text_ = list(own.values()), own["text"]
 
     def run(batches):
         for b in batches:
             out = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(b.column(text_).to_pylist(), b.column("spans").to_pylist(), strict=True):
                 if spans:
                     body = np.frombuffer(text.encode(), np.uint8)
                     text = body[~covered(len(body), spans, length)].tobytes().decode(errors="ignore")
                 out.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else b.column(c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_ else b.column(c) for c in names], names)
 
-    both = _with_spans(docs, length)
-    out = both.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length(kept).cast("long")) if "n_chars" in names else out
+    out = _with_spans(docs, length).mapInArrow(run, inner.schema)
+    return out.select(*[(F.length(text_).cast("long") if n == "n_chars" else F.col(c)).alias(n) for n, c in own.items()])
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -327,4 +330,4 @@ def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
             cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(docs, LENGTH).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, LENGTH).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
