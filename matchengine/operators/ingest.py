@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchengine.operators.merge import latest
+
 SUFFIXES = (".pdf", ".docx", ".txt")
 MOST_BYTES = 20 << 20
 
@@ -25,28 +27,42 @@ def resolve_names(uploads: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds ``path`` to uploads (upload_id, name, owner_id): the name, or where another owner or nobody has it, the first
     of <stem>__u<owner>, <stem>__u<owner>-2, ... that no one else has. docs: (path, owner_id).
 
-    Every record's path is read as a plain name and, where it has that form, as a numbered one, so that one hash join by
-    the plain name finds all that are taken, however many."""
+    Uploads of one batch count for each other: a free name goes to the owner whose upload of it has the least id, and is
+    taken for the others. Uploads of one owner and name share a path; ingest() ranks them."""
+    free = _taken(uploads, docs).filter(~F.array_contains("_taken", 0))
+    first = free.groupBy(F.col("name").alias("path")).agg(F.min_by("owner_id", "upload_id").alias("owner_id"))
+    out = _taken(uploads, docs.select("path", "owner_id").unionByName(first))
+    number = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("_taken")), "_taken"))
+    stem, suffix = F.regexp_extract("name", r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract("name", r"(\.[^./]*)$", 1)
+    own = F.concat(stem, F.lit("__u"), F.col("owner_id").cast("string"), F.when(number > 1, F.concat(F.lit("-"), number.cast("string"))).otherwise(""), suffix)
+    return out.withColumn("path", F.when(number == 0, F.col("name")).otherwise(own)).drop("_taken")
+
+
+def _taken(uploads: DataFrame, docs: DataFrame) -> DataFrame:
+    """Uploads with ``_taken``: 0 if another has the plain name, and the numbers of the owner's forms of it that others have.
+
+    Every record's path is read as a plain name and, where it has that form, as a numbered one of the owner it names. Plain
+    names meet by name, numbered ones by name and owner, so that a name that everyone uses is no product."""
     form = r"^(.*)__u(\d+)(?:-(\d+))?(\.[^./]*)?$"
     part = lambda i: F.regexp_extract("path", form, i)
-    plain = docs.select(F.col("path").alias("name"), F.lit(None).cast("long").alias("_u"), F.lit(0).alias("_k"), F.col("owner_id").alias("_owner"))
+    plain = docs.select(F.col("path").alias("_name"), F.lit(0).alias("_k"), F.col("owner_id").alias("_owner"))
     numbered = docs.filter(F.col("path").rlike(form)).select(
-        F.concat(part(1), part(4)).alias("name"), part(2).try_cast("long").alias("_u"), F.coalesce(part(3).try_cast("int"), F.lit(1)).alias("_k"), F.col("owner_id").alias("_owner")
+        F.concat(part(1), part(4)).alias("_name"), part(2).try_cast("long").alias("_u"), F.coalesce(part(3).try_cast("int"), F.lit(1)).alias("_k"), F.col("owner_id").alias("_owner")
     )
-    others = uploads.join(plain.unionByName(numbered), "name").filter((F.col("_u").isNull() | (F.col("_u") == F.col("owner_id"))) & ~F.col("_owner").eqNullSafe(F.col("owner_id")))
-    taken = others.groupBy("upload_id").agg(F.collect_set("_k").alias("_taken"))
-    out = uploads.join(taken, "upload_id", "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
-    free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size("_taken")), "_taken"))
-    stem, suffix = F.regexp_extract("name", r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract("name", r"(\.[^./]*)$", 1)
-    own = F.concat(stem, F.lit("__u"), F.col("owner_id").cast("string"), F.when(free > 1, F.concat(F.lit("-"), free.cast("string"))).otherwise(""), suffix)
-    return out.withColumn("path", F.when(free == 0, F.col("name")).otherwise(own)).drop("_taken")
+    other = ~F.col("_owner").eqNullSafe(F.col("owner_id"))
+    a = uploads.join(plain, F.col("name") == F.col("_name")).filter(other).select("upload_id", "_k")
+    b = uploads.join(numbered, (F.col("name") == F.col("_name")) & (F.col("owner_id") == F.col("_u"))).filter(other).select("upload_id", "_k")
+    taken = a.unionByName(b).groupBy("upload_id").agg(F.collect_set("_k").alias("_taken"))
+    out = uploads.join(taken, "upload_id", "left")
+    return out.withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
 
 
 def ingest(docs: DataFrame, uploads: DataFrame) -> DataFrame:
-    """Records (path, owner_id, status, session_id, priority_keywords) after uploads (path, owner_id, priority_keywords):
-    a new one is pending; one that was there is active again and its uploader's, and keeps its keywords where the upload
-    has none. Of several uploads of a path any one counts."""
-    one = uploads.dropDuplicates(["path"]).select("path", F.col("owner_id").alias("_owner"), F.col("priority_keywords").alias("_words"), F.lit(True).alias("_new"))
+    """Records (path, owner_id, status, session_id, priority_keywords) after uploads (path, owner_id, priority_keywords, and
+    upload_id if there is one): a new one is pending; one that was there is active again and its uploader's, and keeps its
+    keywords where the upload has none. Of several uploads of a path the last by upload_id counts."""
+    one = latest(uploads, ["path"], "upload_id" if "upload_id" in uploads.columns else None)
+    one = one.select("path", F.col("owner_id").alias("_owner"), F.col("priority_keywords").alias("_words"), F.lit(True).alias("_new"))
     both = docs.join(one, "path", "full_outer")
     up = F.coalesce("_new", F.lit(False))
     return both.select(

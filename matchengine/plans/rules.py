@@ -37,6 +37,35 @@ def j_resolve_names(spark, d):
     return ingest.resolve_names(up, have).select("upload_id", "path")
 
 
+# uploads of a thousand names at most by all customers at once; every tenth name has a record of customer 1
+BATCH = """(select o_orderkey as upload_id, 'cv' || o_orderkey % 997 || '.pdf' as name, o_custkey as owner_id from orders),
+    u2 as (select *, case when o % 10 = 0 then 1 else first_value(owner_id) over (partition by name order by upload_id) end as holder from (select *, cast(regexp_extract(name, '[0-9]+') as int) as o from u)),
+    named as (select upload_id, owner_id, case when owner_id = holder then name else replace(name, '.pdf', '__u' || owner_id || '.pdf') end as path from u2)"""
+
+
+def batch(spark, d):
+    o = table(spark, d, "orders")
+    up = o.select(F.col("o_orderkey").alias("upload_id"), F.concat(F.lit("cv"), (F.col("o_orderkey") % 997).cast("string"), F.lit(".pdf")).alias("name"), F.col("o_custkey").alias("owner_id"))
+    number = F.regexp_extract("name", "[0-9]+", 0).cast("int")
+    return up, up.select(F.col("name").alias("path"), number.alias("n")).distinct().filter("n % 10 = 0").select("path", F.lit(1).cast("long").alias("owner_id"))
+
+
+@query("j_resolve_batch", f"with u as {BATCH} select upload_id, path from named")
+def j_resolve_batch(spark, d):
+    """Many owners upload files of one name in one batch; no two of them get the same path."""
+    return ingest.resolve_names(*batch(spark, d)).select("upload_id", "path")
+
+
+@query("j_ingest_batch", f"""with u as {BATCH} select path, arg_max(owner_id, upload_id) as owner_id, arg_max(upload_id, upload_id)::varchar as priority_keywords from named group by path
+    union all select distinct name, 1, null from u2 where o % 10 = 0 and name not in (select path from named)""")
+def j_ingest_batch(spark, d):
+    """The records after that batch: one of each name and owner, with what the last upload said."""
+    up, have = batch(spark, d)
+    have = have.select("path", "owner_id", F.lit("ready").alias("status"), F.lit(None).cast("long").alias("session_id"), F.lit(None).cast("string").alias("priority_keywords"))
+    named = ingest.resolve_names(up, have).withColumn("priority_keywords", F.col("upload_id").cast("string"))
+    return ingest.ingest(have, named).select("path", "owner_id", "priority_keywords")
+
+
 RECORDS = "(select p_partkey as path, p_size % 4 as owner_id, case when p_size % 3 = 0 then p_size end as session_id, case when p_size % 6 < 3 then p_brand end as priority_keywords, 'ready' as status from part where p_size % 5 <> 0)"
 UPLOADS = "(select p_partkey as path, 9 as owner_id, case when p_size % 2 = 0 then p_type end as priority_keywords from part where p_size > 20)"
 

@@ -136,3 +136,12 @@ def test_csv_file(spark, tmp_path):
     merge.write_csv(d, str(tmp_path / "c"))
     (f,) = (tmp_path / "c").glob("*.csv")
     assert f.read_text(encoding="utf-8").splitlines() == ["\ufeffid,score,keywords", '2,0.9,""', "1,0.5,a; b"]
+
+
+def test_two_owners_upload_one_name_in_one_batch(spark):
+    up = spark.createDataFrame([(1, "cv.pdf", 1, "a"), (2, "cv.pdf", 2, "b"), (3, "cv.pdf", 3, "c"), (4, "cv.pdf", 2, "d"), (5, "cv__u3.pdf", 7, "e"), (6, "old.pdf", 5, None), (7, "old.pdf", 6, "f")], "upload_id long, name string, owner_id long, priority_keywords string")
+    have = spark.createDataFrame([("old.pdf", 6, "ready", 1, "kept")], "path string, owner_id long, status string, session_id long, priority_keywords string")
+    named = ingest.resolve_names(up, have)
+    assert {r.upload_id: r.path for r in named.collect()} == {1: "cv.pdf", 2: "cv__u2.pdf", 3: "cv__u3-2.pdf", 4: "cv__u2.pdf", 5: "cv__u3.pdf", 6: "old__u5.pdf", 7: "old.pdf"}
+    got = {(r.path, r.owner_id, r.status, r.priority_keywords) for r in ingest.ingest(have, named).collect()}
+    assert got == {("cv.pdf", 1, "pending", "a"), ("cv__u2.pdf", 2, "pending", "d"), ("cv__u3-2.pdf", 3, "pending", "c"), ("cv__u3.pdf", 7, "pending", "e"), ("old__u5.pdf", 5, "pending", None), ("old.pdf", 6, "ready", "f")}
