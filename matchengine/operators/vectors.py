@@ -1,17 +1,11 @@
-"""Vectors: means, cosine top-k, hybrid search and label lookup.
-
-Top-k works on blocks: queries, bounded in number and checked, are broadcast as a matrix; every task multiplies its
-own vectors with it and sends on only its best ``k`` for each query.
-"""
+"""Vectors: means, hybrid search and label lookup; cells.py has the searches themselves."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_QUERIES = 100_000
+from matchengine.operators import cells
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,41 +25,9 @@ def mean_vectors(rows: DataFrame, key: str, vector: str, size: int | None = None
     return whole.select(key, F.when(length > 0, F.transform("_v", lambda x: x / length)).otherwise(F.col("_v")).alias(vector))
 
 
-def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", itself: bool = False, block: int = 2000) -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` nearest by cosine, ties by id. Queries go in blocks of ``block``, each
-    a pass over the corpus, so that neither the driver nor a task holds more than a block."""
-    spark = queries.sparkSession
-    rows = queries.select(F.col(id_).alias("q"), F.col(vector).alias("v")).orderBy("q").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: join in parts")
-    found = None
-    for at in range(0, len(rows), block):
-        part = rows[at : at + block]
-        ids = np.array([r.q for r in part], np.int64)
-        m = np.array([r.v for r in part], np.float64).reshape(len(part), -1)
-        sent = spark.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
-
-        def near(batches, sent=sent):
-            ids, q = sent.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                mine = b.column(0).to_numpy()
-                c = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(mine), -1)
-                s = q @ (c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)).T
-                if not itself:
-                    s[ids[:, None] == mine[None, :]] = -np.inf
-                few = min(k, len(mine))
-                bar = np.partition(s, len(mine) - few, axis=1)[:, len(mine) - few][:, None]
-                i, j = np.nonzero((s >= bar) & np.isfinite(s))  # ties with the last stay in
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(mine[j]), pa.array(s[i, j])], ["query_id", "id", "score"])
-
-        one = corpus.select(F.col(id_), F.col(vector)).mapInArrow(near, "query_id long, id long, score double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", itself: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` nearest by cosine in all of the corpus, ties by id; see cells.exact()."""
+    return cells.exact(queries, corpus, k, id_, vector, itself)
 
 
 def with_documents(hits: DataFrame, docs: DataFrame, id_: str = "id", doc_id: str = "doc_id") -> DataFrame:
@@ -98,9 +60,3 @@ def label_lookup(terms: DataFrame, labels: DataFrame, hits: DataFrame, k: int =
     near = hits.filter(F.col("score") >= least).select("term", "uri", "score").join(exact.select("term").distinct(), "term", "left_anti")
     one = exact.unionByName(near).groupBy("term", "uri").agg(F.max("score").alias("score"))
     return one.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy(F.col("score").desc(), "uri"))).filter(F.col("rank") <= k)
-
-
-def best_similarity(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Of rows (pair, skill, a vector, b vector): the largest cosine for each pair and skill."""
-    s = dot(F.col(a), F.col(b)) / F.greatest(norm(F.col(a)) * norm(F.col(b)), F.lit(1e-300))
-    return pairs.groupBy("pair", "skill").agg(F.max(s).alias("similarity"))

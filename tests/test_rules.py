@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchengine.functions import text as T
-from matchengine.operators import fields, ingest, merge, offers, pairs, profile, sections, skills, vectors
+from matchengine.operators import fields, ingest, merge, offers, pairs, profile, sections, skills
 from matchengine.sources import files
 from matchengine.streaming import events as S
 from tests.test_golden import _stream, each
@@ -125,8 +125,6 @@ def test_small_field_rules(spark):
     a = skills.layered(spark.createDataFrame([(0, "SQL", "sql")], "layer int, canonical string, alias string"))
     j = spark.createDataFrame([(1, "1. sql\n2. MOA\nSQL"), (2, None)], "id long, priority_text string")
     assert [(r.id, r.keywords) for r in profile.priority(j, a).collect()] == [(1, ["SQL", "MOA"])]
-    v = spark.createDataFrame([(1, "s", [1.0, 0.0], [0.0, 1.0]), (1, "s", [1.0, 0.0], [1.0, 1.0])], "pair int, skill string, a array<double>, b array<double>")
-    assert vectors.best_similarity(v, "a", "b").first().similarity == pytest.approx(0.5**0.5)
     s = spark.createDataFrame([(1, 1, 1, 0.9, 0.5), (1, 2, 2, 0.8, 0.4)], "query_id int, id int, rank int, score double, full_score double")
     assert [(r.score, r.provisional) for r in pairs.provisional_then_final(s, 1).orderBy("id").collect()] == [(0.5, False), (0.8, True)]
 
