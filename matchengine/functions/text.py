@@ -30,23 +30,34 @@ def decomposed() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(one.values()), several
 
 
+@functools.cache
+def _any_of(characters: str) -> str:
+    """A regular expression for one of these characters, neighbouring ones as ranges."""
+    codes = sorted(map(ord, characters))
+    known = set(codes)
+    first, last = [c for c in codes if c - 1 not in known], [c for c in codes if c + 1 not in known]
+    return "[" + "".join(rf"\x{{{x:X}}}-\x{{{y:X}}}" for x, y in zip(first, last, strict=True)) + "]"
+
+
 def _spread(c: Column) -> Column:
-    """Ligatures, fractions and the like as the characters they stand for. Only texts with a character that can be one
-    (few below U+0250 are) are looked at character by character."""
+    """Ligatures, fractions and the like as the characters they stand for; a text with any is parted at these alone."""
+    several = decomposed()[2]
     # one literal for all pairs: as a literal each, thousands of them would slow down the planning of every query
-    pairs = F.str_to_map(F.lit("\u0001".join(f"{c}\u0002{plain}" for c, plain in decomposed()[2].items())), F.lit("\u0001"), F.lit("\u0002"))
-    letters = F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(pairs, x), x))
-    return F.when(c.rlike(r"[\u00BC-\u00BE\u0132\u0133\u01C4-\u01CC\u01F1-\u01F3\u0250-\x{10FFFF}]"), F.array_join(letters, "")).otherwise(c)
+    pairs = F.str_to_map(F.lit("\u0001".join(f"{c}\u0002{plain}" for c, plain in several.items())), F.lit("\u0001"), F.lit("\u0002"))
+    one = _any_of("".join(several))
+    # parted by a private character, which folding drops like any other outside ASCII
+    parts = F.transform(F.split(F.regexp_replace(c, f"({one})", "\uE000$1\uE000"), "\uE000"), lambda x: F.coalesce(F.try_element_at(pairs, x), x))
+    return F.when(c.rlike(one), F.array_join(parts, "")).otherwise(c)
 
 
 def fold(c: Column | str, quotes: bool = False) -> Column:
     """Lower case without accents: compatibility decomposition, of which what is outside ASCII is dropped. quotes:
-    typographic ones become '."""
+    typographic ones become '. A text of ASCII alone is only lowered."""
     c = _col(c)
-    if quotes:
-        c = F.translate(c, "’´`", "'''")
     accented, plain, _ = decomposed()
-    return F.lower(F.regexp_replace(F.translate(_spread(c), accented, plain), r"[^\x00-\x7F]+", ""))
+    wide = F.translate(c, "’´`", "'''") if quotes else c
+    wide = F.lower(F.regexp_replace(F.translate(_spread(wide), accented, plain), r"[^\x00-\x7F]+", ""))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), wide).otherwise(F.lower(F.translate(c, "`", "'") if quotes else c))
 
 
 def skill_tokens(c: Column | str) -> Column:

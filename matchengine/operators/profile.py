@@ -12,31 +12,41 @@ from matchengine.operators import fields, sections, skills
 STRINGS = "array<string>"
 
 
-def profiles(docs: DataFrame, aliases: DataFrame, as_of_year: int, id_: str = "doc_id", text: str = "text") -> DataFrame:
+def profiles(docs: DataFrame, aliases: DataFrame | skills.Dictionary, as_of_year: int, id_: str = "doc_id", text: str = "text", override: str | None = None) -> DataFrame:
     """One row a document: title_line, domain, language_terms, contract_type, experience_years, education_tokens,
     skill_terms, required_skill_terms, nice_skill_terms, title_skills. Sections decide what is required and optional;
-    where an offer names no required section, its text without hedged sentences counts."""
-    base = docs.select(id_, F.coalesce(F.col(text), F.lit("")).alias("_x"))
-    flat = base.select(
+    where an offer names no required section, its text without hedged sentences counts. ``override`` names a map of sections
+    that were split beforehand: where it has any, they count in place of the text's own, and its title as the title line.
+
+    Everything is made within the document's row: nothing is shuffled but for a dictionary too large to be sent."""
+    known = aliases if isinstance(aliases, skills.Dictionary) else skills.compiled(aliases)
+    wanted = ["job_required", "job_nice", "education"]
+    own = sections.bodies(F.col("_x"), wanted)
+    base = docs.select(id_, F.coalesce(F.col(text), F.lit("")).alias("_x"), *([F.col(override).alias("_given")] if override else []))
+    title = fields.title_line(F.col("_x"))
+    if override:
+        some = F.size(F.filter(F.map_entries("_given"), lambda e: (e["key"] != sections.TITLE_KEY) & (F.trim(e["value"]) != ""))) > 0
+        given = F.struct(*[sections.overriding(F.col("_given"), n).alias(n) for n in wanted])
+        own = F.when(some, given).otherwise(own)
+        title = F.coalesce(F.when(F.trim(F.try_element_at("_given", F.lit(sections.TITLE_KEY))) != "", F.trim(F.try_element_at("_given", F.lit(sections.TITLE_KEY)))), title)
+    out = base.select(
         id_,
-        fields.title_line(F.col("_x")).alias("title_line"),
+        title.alias("title_line"),
         fields.domain(F.col("_x")).alias("domain"),
         fields.languages(F.col("_x")).alias("language_terms"),
         fields.contract(F.col("_x")).alias("contract_type"),
         fields.years(F.col("_x"), as_of_year).alias("experience_years"),
         "_x",
+        own.alias("_s"),
     )
-    parts = sections.sectioned(base.withColumnRenamed("_x", text), id_, text)
-    body = lambda s: F.max(F.when(F.col("section") == s, F.col("body")))
-    wide = parts.groupBy(id_).agg(body("job_required").alias("_req"), body("job_nice").alias("_nice"), body("education").alias("_edu"))
-    out = flat.join(wide, id_, "left")
-    kept, optional = sections.hedged(F.coalesce(F.col("_req"), F.col("_x")))
-    out = out.withColumn("_req", kept).withColumn("_nice", F.concat_ws("\n", F.coalesce("_nice", F.lit("")), optional)).withColumn("education_tokens", scoring.education_tokens(F.coalesce("_edu", F.lit(""))))
+    # true of every row: without a filter between, the optimizer would compute _s anew for each of its uses
+    out = out.filter(F.monotonically_increasing_id() >= 0)
+    kept, optional = sections.hedged(F.coalesce(F.col("_s.job_required"), F.col("_x")))
+    out = out.select("*", F.struct(kept.alias("kept"), optional.alias("optional")).alias("_h"))
+    out = out.withColumn("_req", F.col("_h.kept")).withColumn("_nice", F.concat_ws("\n", F.coalesce("_s.job_nice", F.lit("")), F.col("_h.optional")))
+    out = out.withColumn("education_tokens", scoring.education_tokens(F.coalesce("_s.education", F.lit("")))).drop("_s", "_h")
     names = {"_x": "skill_terms", "_req": "required_skill_terms", "_nice": "nice_skill_terms", "title_line": "title_skills"}
-    lists = skills.field_lists(skills.find_in_fields(out, aliases, id_, tuple(names)), names, id_)
-    empty = F.array().cast(STRINGS)
-    out = out.drop("_x", "_req", "_nice", "_edu").join(lists, id_, "left")
-    return out.withColumns({n: F.coalesce(n, empty) for n in names.values()})
+    return skills.with_lists(out, known, names, id_).drop("_x", "_req", "_nice")
 
 
 def score(pairs: DataFrame, weak: list[str] = (), semantic: Column | None = None) -> DataFrame:

@@ -81,6 +81,39 @@ def sectioned(docs: DataFrame, id_: str = "doc_id", text: str = "text", sections
     return full.groupBy(id_, "section").agg(F.array_join(parts, "\n").alias("body"))
 
 
+def bodies(text: Column, names: list[str], sections: dict[str, list[str]] | None = None) -> Column:
+    """Struct of the bodies of some of the sections, as sectioned() gives them, null of one that is absent: a row's lines
+    are parted at its headings within the row, without a shuffle."""
+
+    def parted(ls: Column) -> Column:
+        told = F.filter(F.transform(ls, lambda x, i: F.struct(i.alias("i"), section_of(x, sections).alias("s"))), lambda m: m["s"].isNotNull())
+        return bound(F.concat(F.array(F.struct(F.lit(-1).alias("i"), F.lit("other").alias("s"))), told), lambda marks: gathered(ls, marks))
+
+    def gathered(ls: Column, marks: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(marks, k + 1)["i"], F.size(ls))
+        runs = F.transform(marks, lambda m, k: F.struct(m["s"].alias("s"), F.filter(F.slice(ls, m["i"] + 2, end(k) - m["i"] - 1), lambda x: F.trim(x) != "").alias("l")))
+        return bound(runs, lambda r: F.struct(*[_body(r, n).alias(n) for n in names]))
+
+    return bound(F.split(F.coalesce(text, F.lit("")), "\n"), parted)
+
+
+def _body(runs: Column, name: str) -> Column:
+    own = F.flatten(F.transform(F.filter(runs, lambda x: x["s"] == F.lit(name)), lambda x: x["l"]))
+    return F.when(F.size(own) > 0, F.array_join(own, "\n"))
+
+
+# Another name of a section in structured conversions, and the key of a document's title there.
+OTHER_NAMES = {"strength": "job_nice"}
+TITLE_KEY = "_doc_title"
+
+
+def overriding(given: Column, name: str) -> Column:
+    """A section's body of a map of sections that a structured conversion has split already; null if it has none."""
+    own = F.filter(F.map_entries(given), lambda e: F.coalesce(F.get(F.array(*[F.when(e["key"] == k, F.lit(v)) for k, v in OTHER_NAMES.items()]), F.lit(0)), e["key"]).eqNullSafe(F.lit(name)))
+    texts = F.filter(F.transform(own, lambda e: F.trim(F.regexp_replace(e["value"], r"^\s+|\s+$", ""))), lambda x: x.isNotNull() & (x != ""))
+    return F.when(F.size(texts) > 0, F.array_join(texts, "\n"))
+
+
 def is_hedged(sentence: Column) -> Column:
     """Whether a sentence has a phrase of what is optional: its words in a row, fillers between them left out."""
     few = F.when(sentence.rlike("(?i)plus|atout|appr.{1,3}ci|nice|pr.{1,3}f|possible"), sentence)  # no other can have one

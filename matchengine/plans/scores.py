@@ -175,6 +175,7 @@ def j_profile_pairs(spark, d):
     """Each conversation's user turns as a CV against its assistant turns as an offer: profiles, then scores."""
     c = table(spark, d, "conversations")
     whole = c.groupBy("conv_id", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    side = lambda r, n: profile.profiles(whole.filter(F.col("role") == r), aliases(spark), 2025, "conv_id").select("conv_id", F.struct("*").alias(n))
-    both = side("user", "cv").join(side("assistant", "job"), "conv_id")
+    every = profile.profiles(whole.filter("role in ('user', 'assistant')").withColumn("id", F.struct("conv_id", "role")), aliases(spark), 2025, "id")
+    side = lambda r: F.first(F.when(F.col("id.role") == r, F.col("p")), ignorenulls=True)
+    both = every.select("id", F.struct("*").alias("p")).groupBy("id.conv_id").agg(side("user").alias("cv"), side("assistant").alias("job")).filter("cv is not null and job is not null")
     return profile.score(both).select("conv_id", "score", F.array_join("common_skills", ",").alias("common"), F.array_join("low_confidence", ",").alias("low"))

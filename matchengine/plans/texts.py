@@ -25,7 +25,7 @@ def aliases(spark):
 
 
 def docs(spark, d):
-    return table(spark, d, "documents")
+    return files.spread(table(spark, d, "documents"))
 
 
 @query("h_fold", f"select doc_id, {FOLD('text')} as folded from documents")
@@ -73,9 +73,12 @@ def h_partition(spark, d):
     return s.select("doc_id", none(hard).alias("hard"), none(soft).alias("soft"))
 
 
-@query("g_layer_union", f"select alias, canonical from {ALIAS_SQL}")
+@query("g_layer_union", """with l as (select p_size % 3 as layer, p_brand as canonical, case when p_size % 7 = 0 then left(p_name, 1) else p_name end as alias from part)
+    select alias, arg_min(canonical, (layer, canonical)) as canonical from l where layer = 0 or length(alias) >= 2 group by alias""")
 def g_layer_union(spark, d):
-    return aliases(spark)
+    """One canonical for each alias of three layers; some aliases are of one letter."""
+    p = table(spark, d, "part")
+    return skills.layered(p.select((F.col("p_size") % 3).alias("layer"), F.col("p_brand").alias("canonical"), F.expr("case when p_size % 7 = 0 then left(p_name, 1) else p_name end").alias("alias")))
 
 
 @query("h_normalize", f"select p_partkey, a.canonical from part left join {ALIAS_SQL} a on a.alias = (case when p_size % 2 = 0 then 'the' when p_size % 3 = 0 then 'of the' else lower(p_name) end)")
@@ -87,7 +90,14 @@ def h_normalize(spark, d):
 @query("h_fuzzy")
 def h_fuzzy(spark, d):
     words = docs(spark, d).select(F.explode(T.skill_tokens("text")).alias("word"))
-    return skills.fuzzy(words, ["thattion", "schenei", "mentaux"])
+    return skills.fuzzy(words, spark.createDataFrame([("thattion",), ("schenei",), ("mentaux",)], "target string"))
+
+
+@query("h_similar_names")
+def h_similar_names(spark, d):
+    """Words of the benchmark's texts that resemble a word of the conversations, which is another."""
+    words = lambda t, c: table(spark, d, t).select(F.explode(T.skill_tokens("text")).alias(c)).filter(F.length(c) >= 4)
+    return skills.resembling(words("benchmark", "word"), words("conversations", "target")).filter("word <> target").select("word", "target", F.round("ratio", 6).alias("ratio"))
 
 
 SIGNALS = {"english": ["the", "of", "that", "tion"], "french": ["les", "est", "une", "queeaux"], "german": ["der", "und", "die"], "spanish": ["del", "los", "para"]}

@@ -142,6 +142,13 @@ def ocr_reason(text: Column, images: Column) -> Column:
     return F.when(F.length(t) < 20, "empty").when(good < 0.5 * F.size(words), "unreadable").when((images >= 0.5) & (F.length(t) < 1500), "sparse")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to as many tasks as the cluster runs at once, where their files would make fewer: a small table that is
+    one row group would have all its texts worked on by one core. Larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def markdown_sections(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, heading, body) of # headings; lines before the first one have a null heading."""
     ls = docs.select(id_, F.posexplode(F.split(text, "\n")).alias("pos", "line"))

@@ -53,7 +53,47 @@ def test_whitelist(spark):
     words = ["kuberntes", "pyhton", "dokcer", "dock", "it", "docker"]
     w = spark.createDataFrame([(x,) for x in words], "word string")
     want = {(x, t) for t in white if len(t) >= 4 for x in words if difflib.SequenceMatcher(None, x, t).ratio() >= 0.8}
-    assert {tuple(r) for r in skills.resembling(w, white).collect()} == want
+    targets = spark.createDataFrame([(x,) for x in white], "target string")
+    assert {(r.word, r.target) for r in skills.resembling(w, targets).collect()} == want
+
+
+def test_resembling_words_against_all_pairs(spark):
+    """Every pair that reaches the cutoff, of which few are compared."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    stems = ["".join(rng.choice(list("etaoinshrdlucmfwygpbvk"), int(rng.integers(1, 14)))) for _ in range(700)]
+
+    def changed(w):
+        w = list(w)
+        for _ in range(int(rng.integers(0, 3))):
+            at = int(rng.integers(0, len(w) + 1))
+            w[at : at + int(rng.integers(0, 2))] = rng.choice(list("aeiou#+."), int(rng.integers(0, 2))).tolist()
+        return "".join(w)
+
+    words = sorted({changed(s) for s in stems for _ in range(4)} | {"", "é", "aaaa", "aaaaa"})
+    targets = sorted({*stems[:400], *(changed(s) for s in stems[:300]), "aaaaaa", "git", "été1"})
+    w, t = spark.createDataFrame([(x,) for x in words], "word string"), spark.createDataFrame([(x,) for x in targets], "target string")
+    for cutoff, least in ((0.8, 4), (0.6, 1)):
+        want, letters = set(), {x: {c: x.count(c) for c in set(x)} for x in {*words, *targets}}
+        for x in words:
+            for y in targets:
+                if x and len(y) >= least and 2 * sum(min(n, letters[y].get(c, 0)) for c, n in letters[x].items()) >= cutoff * (len(x) + len(y)) and difflib.SequenceMatcher(None, x, y).ratio() >= cutoff:
+                    want.add((x, y))
+        assert {(r.word, r.target) for r in skills.resembling(w, t, cutoff, least).collect()} == want
+    share = skills.candidates(w, t).count() / (len(words) * len(targets))
+    print("pairs compared", share)
+    assert share < 0.05
+    got = {r.word: r.target for r in skills.fuzzy(w, t).collect()}
+    for x in words[::37]:
+        if len(x) >= 4:
+            assert got.get(x) == next(iter(difflib.get_close_matches(x, targets, 1, 0.8)), None)
+
+
+def test_short_words_do_not_resemble_long_ones(spark):
+    w = spark.createDataFrame([("it",), ("is",), ("rest",), ("react",), ("reactt",), ("sap",)], "word string")
+    t = spark.createDataFrame([("git",), ("bi",), ("react",), ("sas",), ("rust",)], "target string")
+    assert {(r.word, r.target) for r in skills.resembling(w, t).collect()} == {("react", "react"), ("reactt", "react")}
 
 
 def test_latest_row_of_a_key(spark, tmp_path):
@@ -143,3 +183,51 @@ def test_two_owners_upload_one_name_in_one_batch(spark):
     assert {r.upload_id: r.path for r in named.collect()} == {1: "cv.pdf", 2: "cv__u2.pdf", 3: "cv__u3-2.pdf", 4: "cv__u2.pdf", 5: "cv__u3.pdf", 6: "old__u5.pdf", 7: "old.pdf"}
     got = {(r.path, r.owner_id, r.status, r.priority_keywords) for r in ingest.ingest(have, named).collect()}
     assert got == {("cv.pdf", 1, "pending", "a"), ("cv__u2.pdf", 2, "pending", "d"), ("cv__u3-2.pdf", 3, "pending", "c"), ("cv__u3.pdf", 7, "pending", "e"), ("old__u5.pdf", 5, "pending", None), ("old.pdf", 6, "ready", "f")}
+
+
+def test_bodies_are_those_of_the_sections(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
+    own = spark.createDataFrame([(-1, "intro\nFormation\nM2\n \nCompétences requises :\nSQL\nPython\nAtouts\nScala\nF O R M A T I O N\nL3"), (-2, None), (-3, "Formation")], "doc_id long, text string")
+    names = ["other", "education", "job_required", "job_nice"]
+    every = docs.unionByName(own)
+    want = {(r.doc_id, r.section): r.body for r in sections.sectioned(every).collect() if r.section in names}
+    got = {(r.doc_id, n): r.b[n] for r in every.select("doc_id", sections.bodies(F.col("text"), names).alias("b")).collect() for n in names if r.b[n] is not None}
+    assert got == want and (-1, "education") in got and "M2\nL3" == got[-1, "education"]
+
+
+def test_sections_of_a_conversion_override_the_text(spark):
+    a = spark.createDataFrame([(0, "SQL", "sql"), (0, "Python", "python"), (0, "Scala", "scala")], "layer int, canonical string, alias string")
+    text = "Poste\nCompétences requises\nScala"
+    rows = [(1, text, {"job_required": " SQL ", "strength": "Python", "_doc_title": "Data Engineer"}), (2, text, None), (3, text, {"_doc_title": "Only a title"}), (4, text, {"job_required": " ", "unheard": "x"})]
+    d = spark.createDataFrame(rows, "doc_id long, text string, given map<string,string>")
+    for known in (skills.layered(a), skills.compiled(skills.layered(a))):
+        got = {r.doc_id: (r.title_line, r.required_skill_terms, r.nice_skill_terms) for r in profile.profiles(d, known, 2025, override="given").collect()}
+        assert got[1] == ("Data Engineer", ["SQL"], ["Python"])
+        assert got[2] == ("Poste", ["Scala"], [])
+        assert got[3] == ("Only a title", ["Scala"], [])
+        assert got[4][0] == "Poste" and got[4][1] == ["Scala"]
+
+
+@pytest.mark.parametrize("most", [200_000, 1])
+def test_dictionary_sent_or_joined(spark, monkeypatch, most):
+    monkeypatch.setattr(skills, "MOST_ALIASES", most)
+    rows = [(0, "Data Science", "data science"), (0, "Data", "data"), (0, "C++", "c++"), (0, "Science", "science"), (0, "Lake", "data lake house"), (1, "Other", "data lake")]
+    known = skills.compiled(skills.layered(spark.createDataFrame(rows, "layer int, canonical string, alias string")))
+    assert (known.sent is None) == (most == 1)
+    d = spark.createDataFrame([(1, "Data lake house, data science; C++"), (2, "databases"), (3, None), (4, ""), (5, "science data\ndata science data")], "doc_id long, text string")
+    got = {(r.doc_id, r.canonical, r.n, r.pos) for r in skills.find_skills(d, known).collect()}
+    assert got == {(1, "Lake", 3, 0), (1, "Other", 2, 0), (1, "Data", 1, 0), (1, "Data Science", 2, 3), (1, "Science", 1, 4), (1, "C++", 1, 5), (5, "Science", 1, 0), (5, "Data", 1, 1), (5, "Data Science", 2, 2)}
+    lists = {r.doc_id: r.found for r in skills.with_lists(d, known, {"text": "found"}, "doc_id").collect()}
+    assert lists == {1: ["Lake", "Other", "Data", "Data Science", "Science", "C++"], 2: [], 3: [], 4: [], 5: ["Science", "Data", "Data Science"]}
+    none = skills.compiled(spark.createDataFrame([], "alias string, canonical string"))
+    assert skills.find_skills(d, none).count() == 0
+
+
+def test_fold_parts_texts_at_ligatures_only(spark):
+    import unicodedata
+
+    some = "".join(map(chr, [*range(0x20, 0x2FFF), *range(0xF900, 0xFFFF), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)])).replace("\x7f", "")
+    texts = [some[i : i + 97] for i in range(0, len(some), 97)] + ["plain ASCII", "a’b´c`d"]
+    want = [unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower() for t in texts]
+    assert each(spark, T.fold, texts) == want
+    assert each(spark, lambda c: T.fold(c, quotes=True), ["a’b´c`D", "é’"]) == ["a'b'c'd", "e'"]
