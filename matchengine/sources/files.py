@@ -175,8 +175,6 @@ def alias_json(spark: SparkSession, path: str, layer: int) -> DataFrame:
 
 def watch(spark, folder: str):
     """A stream of a folder's new and changed files, not of folders below it: (event_type, path, observed_at,
-    fingerprint). Deletions are no events here: compare listings with reads.listing_diff()."""
-    from pyspark.sql import functions as F
-
-    files = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.{pdf,docx,txt,PDF,DOCX,TXT}").load(folder)
+    fingerprint). folder_events.changes() has changes, moves and deletions as well, without the files' content."""
+    files = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", SUFFIXES).load(folder)
     return files.select(F.lit("created").alias("event_type"), "path", F.col("modificationTime").alias("observed_at"), F.sha2("content", 256).alias("fingerprint"))

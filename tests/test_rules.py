@@ -103,7 +103,7 @@ def test_latest_row_of_a_key(spark, tmp_path):
     stream = _stream(spark, tmp_path, [[(1, "a", 1), (1, "b", 2)], [(1, "d", 4), (1, "c", 3)]], "id int, v string, t int")
     out = str(tmp_path / "t")
     stream.writeStream.foreachBatch(S.upsert_batches(out, ["id"], order="t")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(f"{out}/v=1").count() == 1
+    assert list(map(tuple, S.upserted(spark, out, "id int, v string, t int").collect())) == [(1, "d", 4)]
 
 
 def test_pairs_leave_archived_and_failed_documents_out(spark):
