@@ -9,7 +9,8 @@ a few dozen totals reach the driver.
 Grams meet at the word before the last, spread by the one next to it, so that a word before very many others is dealt
 over many shards. Shards grow in number with the bytes of text, the spread with the square root of the shards.
 
-Words are 48-bit hashes. A text is preceded by as many starts as a context has words.
+Words are 64-bit hashes: two of V different words are taken for one with a chance of V squared in 2^65, one in seventy at
+a billion. A text is preceded by as many starts as a context has words.
 
 Defined cases: a null text is empty: one token, the end. A null id counts as held out. With nothing to learn from,
 every score is that of the uniform model over one word. Repeated rows count each; an empty table gives no rows.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
+from collections import OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,12 +34,13 @@ from pyspark.sql import functions as F
 from matchengine.llm.bpe import pieces
 from matchengine.llm.store import filesystem, local_path, put, shared_dir
 
-ORDER = 2
+ORDER = 3
 SPREAD = 8  # least number of shards over which the words behind one word are spread
 SHARD_TEXT = 16_000_000  # bytes of text a shard
-BITS = 48
+BITS = 64
 END, START = (xxhash.xxh3_64_intdigest(x) >> (64 - BITS) for x in (b" end", b" start"))  # no word has a blank
 BLOCK = 3_000_000  # n-grams times order over two, reduced at a time
+MAPPED = 2048  # files of a model that a worker holds open; Linux allows a process 65,530 mappings
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +99,7 @@ def gram_shard(words: list[np.ndarray], shards: int, spread: int) -> np.ndarray:
 
 def word_shard(w: np.ndarray, shards: int) -> np.ndarray:
     """Rises with the hash."""
-    return ((w >> np.uint64(16)) * np.uint64(shards) >> np.uint64(BITS - 16)).astype(np.int64)
+    return ((w >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
 def total(order: np.ndarray, keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
@@ -118,7 +120,7 @@ def planes(c: np.ndarray, wide: int) -> bytes:
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Compressed columns: 48-bit hashes (unsigned) as places in a list of those that occur, then counts (signed)."""
+    """Compressed columns: hashes (unsigned) as places in a list of those that occur, then counts (signed)."""
     hashes = [c for c in columns if c.dtype == np.uint64]
     names, which = np.unique(np.concatenate(hashes), return_inverse=True)
     out = [len(names).to_bytes(8, "little"), len(columns[0]).to_bytes(8, "little"), planes(np.diff(names, prepend=np.uint64(0)), BITS // 8)]
@@ -312,32 +314,36 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
 
 
 class Shards:
-    """The model's files, mapped when first asked for."""
+    """The model's files, mapped when first asked for; of a store that is not mounted they are read into memory. The last
+    MAPPED ones are held, so that neither mappings nor memory grow with the model."""
 
     def __init__(self, path: str):
-        self.path, self.open = path, {}
+        self.path, self.open = path, OrderedDict()
 
     def arrays(self, name: str, columns: int) -> list | None:
         """Sorted hashes and their columns; None of a shard that has nothing."""
-        if name not in self.open:
+        if name in self.open:
+            self.open.move_to_end(name)
+        else:
             where = local_path(f"{self.path}/{name}")
-            if where is None:  # a store that is not mounted: a copy for this worker's lifetime
+            if where is None:
                 store, inside = filesystem(f"{self.path}/{name}")
-                found = store.get_file_info(inside).is_file
-                where = os.path.join(tempfile.mkdtemp(prefix="kneser-ney-"), name)
-                if found:
-                    with store.open_input_stream(inside) as src, open(where, "wb") as dst:
-                        while part := src.read(1 << 20):
-                            dst.write(part)
-            if not os.path.exists(where):
+                data = None
+                if store.get_file_info(inside).is_file:
+                    with store.open_input_stream(inside) as src:
+                        data = np.frombuffer(src.read(), np.uint8)
+            else:
+                data = np.memmap(where, np.uint8, "r") if os.path.exists(where) else None
+            if data is None:
                 self.open[name] = None
             else:
-                data = np.memmap(where, np.uint8, "r")
                 n, *large = data[: 8 * (1 + columns)].view("<u8").tolist()
                 cut = np.cumsum([8 * (1 + columns), 8 * n, *(8 * x for x in large for _ in (0, 1)), *(n for _ in large)])
                 part = [data[a:z] for a, z in zip(cut[:-1], cut[1:], strict=True)]
                 whole = [x.view("<u8") for x in part[: 1 + 2 * columns]]
                 self.open[name] = [whole[0], *(Column(part[1 + 2 * columns + i], whole[1 + 2 * i], whole[2 + 2 * i]) for i in range(columns))]
+            while len(self.open) > MAPPED:
+                self.open.popitem(last=False)
         return self.open[name]
 
     def find(self, kind: str, shard: np.ndarray, keys: np.ndarray, columns: int) -> list[np.ndarray]:

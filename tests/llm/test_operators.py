@@ -199,36 +199,25 @@ def test_suffix_dedup_shared_passages(spark, monkeypatch, crowded):
 
 
 def test_lm_score(spark, sf, texts):
+    """At whatever order the query takes."""
+    from tests.llm.test_orders import plain
+
     tokens = lambda t: [*WORD.findall(lower(t)), None]
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     train = [tokens(t) for i, t, _ in texts if not held(i)]
     one = Counter(w for d in train for w in d)
-    two = Counter((v, w) for d in train for v, w in zip(["<"] + d, d, strict=False))
-    cont, after, tot = Counter(w for _, w in two), defaultdict(Counter), Counter()
-    for (v, _), c in two.items():
-        after[v][min(c, 3)] += 1
-        tot[v] += c
     n, v_ = sum(one.values()), len(one)
-    d2 = (0, *kneser_ney.discounts(*(sum(c == k for c in two.values()) for k in (1, 2, 3, 4))))
-    d1 = (0, *kneser_ney.discounts(*(sum(c == k for c in cont.values()) for k in (1, 2, 3, 4))))
-    rest = sum(d1[min(c, 3)] for c in cont.values()) / len(two)
-
-    def prob(v, w):
-        single = max(cont[w] - d1[min(cont[w], 3)], 0) / len(two) + rest / (v_ + 1)
-        if not tot[v]:
-            return single
-        c = two[v, w]
-        return max(c - d2[min(c, 3)], 0) / tot[v] + sum(d2[k] * m for k, m in after[v].items()) / tot[v] * single
-
-    for v in ["<", None, train[0][0]]:
-        assert sum(prob(v, w) for w in one) + prob(v, "unseen") == pytest.approx(1)
+    order = kneser_ney.ORDER
+    prob, score = plain(train, order)
+    for h in [("<",) * (order - 1), (None,) * (order - 1), tuple(train[0][: order - 1])]:
+        assert sum(prob((*h, w)) for w in one) + prob((*h, "unseen")) == pytest.approx(1)
     got = {(r["doc_id"], r["n_tokens"], r["n_known"]): r for r in rows(QUERIES["op8_lm_score"](spark, sf))}
     for i, t, _ in texts:
         d = tokens(t)
         r = got[i, len(d), sum(one[w] > 0 for w in d)]
         assert r["held_out"] == held(i) and r["train_tokens"] == n
         assert r["base_score"] == pytest.approx(sum(math.log10((one[w] + 0.1) / (n + 0.1 * (v_ + 1))) for w in d))
-        assert r["score"] == pytest.approx(sum(math.log10(prob(v, w)) for v, w in zip(["<"] + d, d, strict=False)))
+        assert r["score"] == pytest.approx(score(d))
     assert sum(r["score"] for r in got.values() if r["held_out"]) > sum(r["base_score"] for r in got.values() if r["held_out"])
 
 
