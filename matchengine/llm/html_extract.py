@@ -51,6 +51,8 @@ SHARE = 0.4
 MOST = 0.5  # of the text: a sign on what holds more says nothing
 APART = 0.1
 LINKS = 0.6  # share of a block's text in links
+SENTENCE = re.compile(r"(?:\S+\s+){4,}\S+[.!?…。！？][\"'»”)]*$")  # five words and more, with a full stop
+LEADING = frozenset("h1 h2 h3 h4 h5 h6 summary caption dt".split())  # names of what comes behind
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؛،]")
 WORDS = re.compile(r"[a-z]+")
@@ -69,14 +71,17 @@ class _Open(NamedTuple):
     header: bool
     body: bool  # in an article or main
     prose: bool
+    leading: bool
+    row: int  # number of the table row
 
 
-_TOP = _Open("", 0, False, 0, 0, False, False, False, False, False)
+_TOP = _Open("", 0, False, 0, 0, False, False, False, False, False, False, 0)
 
 
 class _Page(HTMLParser):
-    """nodes: [path's number, text, block, outermost article, innermost sign, in a link, in prose]; out-of-bounds text is
-    not kept. Articles (and mains) and elements with signs are numbered in order; ``above`` has each sign's next one up."""
+    """nodes: [path's number, text, block, outermost article, innermost sign, in a link, in prose, leading, table row];
+    out-of-bounds text is not kept. Articles (and mains) and elements with signs are numbered in order; ``above`` has each
+    sign's next one up, ``weak`` the signs on paragraphs and the like."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -84,6 +89,7 @@ class _Page(HTMLParser):
         self.paths: dict[tuple[int, str], int] = {}
         self.open: Counter[str] = Counter()  # open elements by tag
         self.above: dict[int, int] = {}
+        self.weak: set[int] = set()
         self.nodes: list[list] = []
         self.block = 0
         self.elements = 0
@@ -94,10 +100,13 @@ class _Page(HTMLParser):
         article = self.elements if not up.article and not sign and tag in ("article", "main") else up.article
         if sign:
             self.above[self.elements] = up.sign
+            if tag in PROSE:
+                self.weak.add(self.elements)
         self.stack.append(
             _Open(
                 tag, self.paths.setdefault((up.path, tag), len(self.paths) + 1), out or up.out, article, self.elements if sign else up.sign,
                 up.link or tag == "a", up.heading or tag in HEADINGS, up.header or tag == "header", up.body or tag in ("article", "main"), up.prose or tag in PROSE,
+                up.leading or tag in LEADING, self.elements if tag == "tr" else up.row,
             )
         )
         self.open[tag] += 1
@@ -168,7 +177,7 @@ class _Page(HTMLParser):
             self._end_head()
         up = self.stack[-1] if self.stack else _TOP
         if not up.out and (not up.header or up.heading and up.body):
-            self.nodes.append([up.path, data, self.block, up.article, up.sign, up.link, up.prose])
+            self.nodes.append([up.path, data, self.block, up.article, up.sign, up.link, up.prose, up.leading, up.row])
 
 
 def ratios(nodes: list[list]) -> list[float]:
@@ -211,7 +220,21 @@ def main_text(html: str | None) -> str:
         by_sign[page.above[e]] += by_sign[e]
         both[page.above[e]] += both[e]
 
+    paragraphs: dict[int, list[list]] = {e: [] for e in page.weak}
+    plain = Counter(n[0] for n, size in zip(nodes, sizes, strict=True) if size and n[4] not in page.weak)
+    for n in nodes:
+        if n[4] in paragraphs:
+            paragraphs[n[4]].append(n)
+
+    def prose(e: int) -> bool:
+        """Whether a paragraph with a sign is a sentence in the article, or among paragraphs on its path that have none."""
+        own = paragraphs[e]
+        here = article and both[e] == by_sign[e] or min((plain[n[0]] for n in own if n[1].strip()), default=0) > 1
+        return bool(here) and SENTENCE.search(" ".join("".join(n[1] for n in own).split())) is not None
+
     def cluttered(e: int) -> bool:
+        if e in page.weak and prose(e):
+            return False
         if by_sign[e] > MOST * whole:  # a wrapper, unless an article has its text elsewhere, as above long comments
             return article != 0 and by_article[article] - both[e] >= max(SHARE * (whole - by_sign[e]), APART * whole)
         return by_article[article] < SHARE * whole or both[e] <= MOST * by_article[article]
@@ -231,11 +254,29 @@ def main_text(html: str | None) -> str:
             best[n[2]] = max(best[n[2]], f)
         total[n[2]] += size
         links[n[2]] += size * n[5]
-    blocks: dict[int, list[str]] = {}
+    text: dict[int, list[str]] = defaultdict(list)
+    names, rows, clean = set(), {}, set()
     for n in nodes:
-        b = n[2]
-        if best[b] >= least and links[b] <= LINKS * total[b]:
-            blocks.setdefault(b, []).append(n[1])
+        text[n[2]].append(n[1])
+        if n[7]:
+            names.add(n[2])
+        if n[8]:
+            rows[n[2]] = n[8]
+        if not clutter[n[4]]:
+            clean.add(n[2])
+    order = [b for b in text if total[b]]
+
+    def linked(b: int) -> bool:
+        """Mostly links, and not a sentence that goes on outside them."""
+        return links[b] > LINKS * total[b] and not (links[b] < total[b] and b in clean and SENTENCE.search(" ".join("".join(text[b]).split())))
+
+    kept = {b for b in order if best[b] >= least and not linked(b)}
+    full = {rows[b] for b in kept if b in rows}  # a row's cells stay together
+    kept |= {b for b in order if rows.get(b) in full and b in clean and not linked(b)}
+    for b, after in zip(reversed(order[:-1]), reversed(order[1:]), strict=True):  # and a name with what it names
+        if b in names and b in clean and after in kept and not linked(b):
+            kept.add(b)
+    blocks = {b: text[b] for b in order if b in kept}
     return " ".join(t for t in (" ".join("".join(x).split()) for x in blocks.values()) if t)
 
 
