@@ -19,7 +19,9 @@ from matchengine.llm.store import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 32  # words
-SHARDS = 512  # a power of two
+SHARDS = 512  # at least; a power of two
+MOST_SHARDS = 1 << 17  # a source's row holds a number for each: 1 MB
+SHARD_BLOCKS = 1 << 18  # that a shard should hold: some 8 million words
 MOST = 3  # times that a document may be taken
 
 
@@ -115,16 +117,22 @@ def quotas(leaves: DataFrame, source_quota: DataFrame, shards: int = SHARDS, see
     return tree.select("key", F.posexplode("q").alias("shard", "quota"))
 
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), shards: int = SHARDS, seed: int = 0, text: str = "text") -> DataFrame:
+def shards_for(blocks: int) -> int:
+    """Output shards for so many blocks."""
+    return min(MOST_SHARDS, max(SHARDS, 1 << max(0, (blocks // SHARD_BLOCKS - 1).bit_length())))
+
+
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), shards: int | None = None, seed: int = 0, text: str = "text") -> DataFrame:
     """A row for each document: doc_id, tie (tells rows of one id apart), source, size, source_size, target, passes
     (whole copies taken), blocks (numbers of the blocks taken once more, ``BLOCK`` words each, a text's last block
-    shorter), taken (words), shard, position (its random place in the shard).
+    shorter), taken (words), shard, position (its random place in the shard). Shards are as many as shards_for() says.
     """
     sizes = sized(docs, text).select(
         "doc_id", F.xxhash64("source", text).alias("tie"), "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"), "size"
     )
-    sizes = sizes.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("long")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie"), F.lit(shards)).cast("int"))
-    sizes = materialise(sizes, "mix-sizes")
+    sizes = materialise(sizes.withColumn("nb", F.ceil(F.col("size") / BLOCK).cast("long")), "mix-sizes")
+    shards = shards or shards_for(sizes.agg(F.coalesce(F.sum("nb"), F.lit(0)).alias("nb")).first().nb)
+    sizes = sizes.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "tie"), F.lit(shards)).cast("int"))
     aim = targets(sizes.select("source", "key", "size", "nb"), weights)
     aim = aim.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     rest = F.col("target") - F.col("passes") * F.col("source_size")

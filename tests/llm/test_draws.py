@@ -34,3 +34,23 @@ def test_quotas_add_up_and_fit(spark):
     blocks = {(k, s): n for k, s, n in leaves}
     assert {k: sum(r.quota for r in rows if r.key == k) for k in asked} == asked
     assert all(0 <= r.quota <= blocks.get((r.key, r.shard), 0) for r in rows)
+
+
+def test_shards_grow_with_the_corpus():
+    from matchengine.llm import mixing
+
+    assert mixing.shards_for(0) == mixing.shards_for(10**6) == mixing.SHARDS
+    many = [mixing.shards_for(10**k) for k in range(6, 14)]
+    assert many == sorted(many) and all(s & (s - 1) == 0 for s in many) and max(many) == mixing.MOST_SHARDS
+    assert 10**9 / mixing.shards_for(10**9) <= mixing.SHARD_BLOCKS
+
+
+def test_any_number_of_shards_takes_the_quotas(spark):
+    from pyspark.sql import functions as F
+
+    from matchengine.llm import mixing
+
+    d = spark.createDataFrame([(i, f"s{i % 3}", "w " * (i % 90)) for i in range(300)], "doc_id long, source string, text string")
+    taken = [mixing.mix(d, shards=n).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("a")).collect() for n in (2, 16, 1024)]
+    for rows in taken:
+        assert all(abs(r.t - r.a) <= max(64, 0.05 * r.a) for r in rows)
