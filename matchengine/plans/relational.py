@@ -309,9 +309,9 @@ def b_extraction_upsert(spark, d):
     return merge.invalidated(old, new, "id").select("id", "profile_hash")
 
 
-@query("b_retention", "select event_id from events where ts >= timestamp '2024-03-01 00:00:00' - interval 30 days")
+@query("b_retention", "select event_id from events where ts >= timestamp '2024-02-12 12:00:00' - interval 30 days")
 def b_retention(spark, d):
-    return merge.retain(table(spark, d, "events"), "2024-03-01 00:00:00", 30, "ts").select("event_id")
+    return merge.retain(table(spark, d, "events"), "2024-02-12 12:00:00", 30, "ts").select("event_id")
 
 
 @query("b_orphans", "select p_partkey as path, 'document' as kind from part where p_partkey not in (select o_orderkey from orders) union all select o_orderkey, 'file' from orders where o_orderkey not in (select p_partkey from part)")

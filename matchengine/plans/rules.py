@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchengine.functions import text as T
-from matchengine.operators import fields, ingest, merge, offers, reads, sections, skills
+from matchengine.operators import annotations, fields, ingest, merge, offers, reads, sections, skills
 from matchengine.operators import vectors as V
 from matchengine.plans.bindings import CVS, JOBS, MATCHES, cvs, jobs, matches
 from matchengine.plans.texts import FOLD, TOKENS, aliases, docs
 from matchengine.plans.vectors import TOP, top
 from matchengine.registry import query, table
+from matchengine.sources import files
 
 M, J, C = f"({MATCHES})", f"({JOBS})", f"({CVS})"
 
@@ -247,3 +248,32 @@ def h_fuzzy_whitelist(spark, d):
     """The dictionary's skills and those of a short list, by name or a resembling word."""
     few = docs(spark, d)
     return skills.with_whitelist(few, skills.find_skills(few, aliases(spark)), aliases(spark), WHITELIST).select("doc_id", "canonical", "n", "pos")
+
+
+SINGLE = ["the", "la", "der", "and", "est", "of"]
+
+
+@query("h_skill_spans", f"select doc_id, t as token, count(*) as n from (select doc_id, unnest({TOKENS('text')}) as t from documents) where t in ('the', 'la', 'der', 'and', 'est', 'of') group by 1, 2")
+def h_skill_spans(spark, d):
+    """Places of one-word aliases in the texts themselves; a span counts if the text from its start to its end is its value."""
+    known = skills.compiled(skills.layered(spark.createDataFrame([(0, w.upper(), w) for w in SINGLE], "layer int, canonical string, alias string")))
+    found = annotations.annotated(docs(spark, d), known, patterns={}, names=False)
+    both = found.join(docs(spark, d), "doc_id").filter(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("value"))
+    return both.groupBy("doc_id", T.fold("value").alias("token")).agg(F.count("*").alias("n"))
+
+
+@query("h_all_spans")
+def h_all_spans(spark, d):
+    return annotations.annotated(docs(spark, d), skills.compiled(aliases(spark)))
+
+
+GRID_LINES = "(select l_orderkey as id, l_linenumber as n, l_orderkey % 40 as doc_id, l_linenumber as page, l_partkey % 600 as x0, l_partkey % 600 + 20 as x1, l_suppkey * 37 % 800 as y0, l_suppkey * 37 % 800 + 10 as y1 from lineitem)"
+GRID_BOXES = "(select p_partkey % 40 as doc_id, p_size % 7 + 1 as page, p_partkey * 13 % 500 as x0, p_partkey * 13 % 500 + p_size * 4 as x1, p_partkey * 29 % 700 as y0, p_partkey * 29 % 700 + p_size * 3 as y1 from part where p_partkey % 5 = 0)"
+
+
+@query("a_outside_tables", f"select id, n from {GRID_LINES} l where not exists (from {GRID_BOXES} b where b.doc_id = l.doc_id and b.page = l.page and (l.x0 + l.x1) / 2 between b.x0 and b.x1 and (l.y0 + l.y1) / 2 between b.y0 and b.y1)")
+def a_outside_tables(spark, d):
+    at = lambda t, rows, *cols: table(spark, d, t).filter(rows).selectExpr(*cols)
+    lines = at("lineitem", "true", "l_orderkey as id", "l_linenumber as n", "l_orderkey % 40 as doc_id", "l_linenumber as page", "l_partkey % 600 as x0", "l_partkey % 600 + 20 as x1", "l_suppkey * 37 % 800 as y0", "l_suppkey * 37 % 800 + 10 as y1")
+    boxes = at("part", "p_partkey % 5 = 0", "p_partkey % 40 as doc_id", "p_size % 7 + 1 as page", "p_partkey * 13 % 500 as x0", "p_partkey * 13 % 500 + p_size * 4 as x1", "p_partkey * 29 % 700 as y0", "p_partkey * 29 % 700 + p_size * 3 as y1")
+    return files.outside_tables(lines, boxes).select("id", "n")

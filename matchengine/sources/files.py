@@ -127,11 +127,18 @@ def render_table(rows: Column) -> Column:
     return F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, lambda c: F.regexp_replace(F.trim(c), r"\s*\n\s*", " ")), "\t")), "\n")
 
 
-def outside_tables(lines: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Lines whose centre lies in no table's box of their page."""
-    x, y = (F.col("l.x0") + F.col("l.x1")) / 2, (F.col("l.y0") + F.col("l.y1")) / 2
-    on = (F.col("l.doc_id") == F.col("b.doc_id")) & (F.col("l.page") == F.col("b.page")) & x.between(F.col("b.x0"), F.col("b.x1")) & y.between(F.col("b.y0"), F.col("b.y1"))
-    return lines.alias("l").join(boxes.alias("b"), on, "left_anti")
+CELL = 100.0  # points: a page has some fifty cells
+
+
+def outside_tables(lines: DataFrame, boxes: DataFrame, cell: float = CELL) -> DataFrame:
+    """Lines whose centre lies in no table's box of their page. Boxes are dealt to the cells of a grid that they cover, so
+    that a line meets those of its own cell alone; a line without a page or place lies in none."""
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell), F.floor(F.col(b) / cell)))
+    good = boxes.filter("x0 <= x1 and y0 <= y1").select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), *[F.col(c).alias(f"_{c}") for c in ("x0", "x1", "y0", "y1")])
+    dealt = good.withColumn("_gx", span("_x0", "_x1")).withColumn("_gy", span("_y0", "_y1"))
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    same = (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")) & (F.floor(x / cell) == F.col("_gx")) & (F.floor(y / cell) == F.col("_gy"))
+    return lines.join(dealt, same & x.between(F.col("_x0"), F.col("_x1")) & y.between(F.col("_y0"), F.col("_y1")), "left_anti")
 
 
 def ocr_reason(text: Column, images: Column) -> Column:
