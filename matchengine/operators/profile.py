@@ -90,6 +90,29 @@ def offer_text(title: Column, company: Column, skills_: Column, constraints: Col
     return F.concat_ws("\n", said(title), F.concat(F.lit("Entreprise : "), said(company)), F.concat(F.lit("Compétences requises : "), list_(skills_, 10)), F.concat(F.lit("Contraintes : "), list_(constraints, 6)), said(body))
 
 
+def cv_text(form: dict[str, Column]) -> Column:
+    """A CV form's fields (full_name, headline, status, summary, contract_type, location; arrays skills, experience,
+    education, certifications, languages) as a text whose headings sections.bodies() finds again."""
+    none = F.lit(None).cast("string")
+    text = lambda n: F.trim(F.coalesce(form.get(n, none), F.lit("")))
+    items = lambda n: F.filter(F.transform(F.coalesce(form.get(n, F.lit(None).cast(STRINGS)), F.array().cast(STRINGS)), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    said = lambda n, other: F.when(text(n) != "", text(n)).otherwise(F.lit(other))
+    bullets = lambda n: F.when(F.size(items(n)) > 0, F.array_join(F.transform(items(n), lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise(F.lit("Aucune"))
+    named = lambda label, value: F.concat(F.lit(f"{label}: "), value)
+    lines = [F.lit("CV STRUCTURÉ"), named("Nom complet", text("full_name")), named("Titre professionnel", text("headline")), named("Statut", said("status", "published")), F.lit("Profil"), text("summary")]
+    for label, n in (("Compétences", "skills"), ("Expérience", "experience"), ("Formation", "education"), ("Certifications", "certifications")):
+        lines += [F.lit(label), bullets(n), F.lit("")]
+    spoken = F.when(F.size(items("languages")) > 0, F.array_join(items("languages"), ", ")).otherwise(F.lit("Français"))
+    lines += [named("Langues", spoken), named("Contrat recherché", said("contract_type", "Non renseigné")), named("Localisation", said("location", "Non renseignée"))]
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n"))
+
+
+def as_json(profiles_: DataFrame, id_: str = "doc_id") -> DataFrame:
+    """(id, profile): each profile as a JSON object, absent values as null."""
+    fields_ = F.struct(*[F.col(f"`{c}`") for c in profiles_.columns if c != id_])
+    return profiles_.select(id_, F.to_json(fields_, {"ignoreNullFields": "false"}).alias("profile"))
+
+
 def priority(jobs: DataFrame, aliases: DataFrame, text: str = "priority_text", id_: str = "id") -> DataFrame:
     """(id, keywords): keyword lines brought to canonical skills, each once; unknown ones stay as typed."""
     rows = jobs.select(id_, F.posexplode(keyword_lines(text)).alias("_p", "term"))

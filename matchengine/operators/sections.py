@@ -58,6 +58,19 @@ def section_of(line: Column, sections: dict[str, list[str]] | None = None) -> Co
     return F.element_at(F.concat(F.filter(heads, lambda x: x.isNotNull()), F.array(F.lit(None).cast("string"))), 1)
 
 
+def classed(title: Column, sections: dict[str, list[str]] | None = None) -> Column:
+    """The section of a structured conversion's heading by the longest alias in it, the first of equally long ones; "other"
+    of none. An alias of one word has to be a word of the heading, so that "stack" is not found in "full-stack"."""
+    known = sorted(((a, s) for s, v in (sections or SECTIONS).items() for a in v), key=lambda x: -len(x[0]))
+
+    def told(t: Column) -> Column:
+        words = F.transform(F.split(t, r"\s+"), lambda w: F.regexp_replace(w, r"^[:,.;()\[\]]+|[:,.;()\[\]]+$", ""))
+        out = [F.struct(F.lit(a).alias("a"), F.lit(s).alias("s"), F.lit(" " in a).alias("long")) for a, s in known]
+        return bound(words, lambda w: F.filter(F.array(*out), lambda x: F.when(x["long"], F.contains(t, x["a"])).otherwise(F.array_contains(w, x["a"]))))
+
+    return F.coalesce(F.get(bound(F.lower(F.trim(title)), told), F.lit(0))["s"], F.lit("other"))
+
+
 def heading_like(ls: DataFrame, id_: str = "doc_id") -> DataFrame:
     """Adds ``heads`` to lines: one to six words, mostly in capitals or with a list's first entry on the next line."""
     after = F.lead("line").over(Window.partitionBy(id_).orderBy("pos"))

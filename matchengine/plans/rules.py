@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matchengine.functions import text as T
-from matchengine.operators import annotations, fields, ingest, merge, offers, reads, sections, skills
+from matchengine.operators import annotations, fields, ingest, merge, offers, profile, reads, sections, skills
 from matchengine.operators import vectors as V
 from matchengine.plans.bindings import CVS, JOBS, MATCHES, cvs, jobs, matches
 from matchengine.plans.texts import FOLD, TOKENS, aliases, docs
@@ -277,3 +277,32 @@ def a_outside_tables(spark, d):
     lines = at("lineitem", "true", "l_orderkey as id", "l_linenumber as n", "l_orderkey % 40 as doc_id", "l_linenumber as page", "l_partkey % 600 as x0", "l_partkey % 600 + 20 as x1", "l_suppkey * 37 % 800 as y0", "l_suppkey * 37 % 800 + 10 as y1")
     boxes = at("part", "p_partkey % 5 = 0", "p_partkey % 40 as doc_id", "p_size % 7 + 1 as page", "p_partkey * 13 % 500 as x0", "p_partkey * 13 % 500 + p_size * 4 as x1", "p_partkey * 29 % 700 as y0", "p_partkey * 29 % 700 + p_size * 3 as y1")
     return files.outside_tables(lines, boxes).select("id", "n")
+
+
+CLASSES = {"article": ["the", "der", "la", "of the"], "joining": ["and", "und", "et", "in the"]}
+
+
+@query("a_section_class", """with t as (select doc_id, lower(trim(text[1:80])) as t from documents), w as (select *, list_transform(regexp_split_to_array(t, '\\s+'), lambda x: trim(x, ':,.;()[]')) as w from t)
+    select doc_id, case when contains(t, 'of the') then 'article' when contains(t, 'in the') then 'joining' when list_contains(w, 'the') or list_contains(w, 'der') then 'article'
+        when list_contains(w, 'and') or list_contains(w, 'und') then 'joining' when list_contains(w, 'la') then 'article' when list_contains(w, 'et') then 'joining' else 'other' end as section from w""")
+def a_section_class(spark, d):
+    return docs(spark, d).select("doc_id", sections.classed(F.substring("text", 1, 80), CLASSES).alias("section"))
+
+
+@query("j_cv_text", """select p_partkey, 'CV STRUCTURÉ' || chr(10) || 'Nom complet: ' || p_name || chr(10) || 'Titre professionnel: ' || p_type || chr(10) || 'Statut: ' || case when p_size % 2 = 0 then 'draft' else 'published' end || chr(10) || 'Profil' || chr(10) || p_brand || chr(10)
+    || 'Compétences' || chr(10) || case when p_size % 3 = 0 then 'Aucune' else '- ' || replace(p_name, ' ', chr(10) || '- ') end || chr(10) || chr(10) || 'Expérience' || chr(10) || '- ' || p_type || chr(10) || chr(10) || 'Formation' || chr(10) || 'Aucune' || chr(10) || chr(10)
+    || 'Certifications' || chr(10) || 'Aucune' || chr(10) || chr(10) || 'Langues: ' || case when p_size % 5 = 0 then 'fr, en' else 'Français' end || chr(10) || 'Contrat recherché: Non renseigné' || chr(10) || 'Localisation: ' || p_brand || chr(10) as cv from part""")
+def j_cv_text(spark, d):
+    p = part(spark, d)
+    some = lambda when, value: F.when(when, value)
+    form = {
+        "full_name": F.concat(F.lit(" "), "p_name"), "headline": F.col("p_type"), "status": some(F.col("p_size") % 2 == 0, "draft"), "summary": F.col("p_brand"), "skills": some(F.col("p_size") % 3 != 0, F.split("p_name", " ")),
+        "experience": F.array(F.lit(" "), F.col("p_type"), F.lit(None).cast("string")), "languages": some(F.col("p_size") % 5 == 0, F.array(F.lit("fr"), F.lit(" en "))), "location": F.col("p_brand"),
+    }
+    return p.select("p_partkey", profile.cv_text(form).alias("cv"))
+
+
+@query("j_profile_json", """select p_partkey as doc_id, to_json({'title_line': p_name, 'experience_years': p_size, 'domain': case when p_size % 2 = 0 then p_brand end, 'skill_terms': string_split(p_name, ' ')})::varchar as profile from part""")
+def j_profile_json(spark, d):
+    p = part(spark, d).select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title_line"), F.col("p_size").alias("experience_years"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("domain"), F.split("p_name", " ").alias("skill_terms"))
+    return profile.as_json(p)
