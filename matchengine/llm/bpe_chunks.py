@@ -7,7 +7,8 @@ once and keeps the result in bounded memory. A word that two chunks share is joi
 its neighbours; where that wider encoding does not agree with the joined one, the whole text is encoded again.
 
 Defined cases: a null text is empty and gives no tokens; repeated rows are encoded alike; special tokens' strings in
-a text are special tokens, as the library has it; an empty table gives no rows.
+a text are special tokens, as the library has it; an empty table gives no rows; a null id stays null; a very long text
+is cut into chunks like any other; columns besides doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ a difference that is cut at that of unrelated digests, and read as a likeness fr
 
 Defined cases: a null text is empty; texts under five bytes count nothing, their length class tells them apart;
 equal texts have equal digests; rows of one id are ordered by their texts; a single row is its own next; null ids
-come last in descending order; an empty table gives no rows.
+come last in descending order; a text longer than STEP is digested on its own; an empty table gives no rows; other
+columns are not looked at.
 """
 
 from __future__ import annotations

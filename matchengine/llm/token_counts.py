@@ -4,7 +4,7 @@ Workers encode whole texts and send only (length, documents) pairs, so what is s
 The suffix sums run in blocks of lengths: sums within a block, then over the short list of blocks.
 
 Defined cases: null and empty texts have length 0; repeated rows count each; an empty table gives an empty
-histogram; columns besides the text are not looked at.
+histogram; a very long text is encoded on its own; columns besides the text are not looked at.
 """
 
 from __future__ import annotations

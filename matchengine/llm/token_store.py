@@ -5,8 +5,13 @@ dictionary-encoded, with bounded row groups and pages and page indexes, so that
 metadata alone touches few pages. A document's offset in the whole sequence is its offset in its part plus the sum
 of the parts before, so no global order passes through one task.
 
+Columns of documents that ``metadata`` names are kept beside the ids under the names m_0, m_1, ..., so that none can
+clash; selected() gives them their own names back and reads the files as a query asks: row groups and pages by the
+documents' ids, and the token column only if it is wanted.
+
 Defined cases: a null text is empty and gives the end id alone; null ids come first; repeated ids keep the order of
-their texts; an empty table gives an empty file set; other columns of documents can be kept as metadata.
+their texts; an empty table gives an empty file set; a very long text is one list, encoded on its own; columns that are
+not named as metadata are not looked at.
 """
 
 from __future__ import annotations
@@ -35,8 +40,8 @@ STEP = 3_000_000  # bytes of text encoded at a time
 SCHEMA = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 
 
-def write(docs: DataFrame, out: str, tokenizer: str, end: int = 0, **writer: str) -> None:
-    """Encodes (doc_id, text) and writes SCHEMA below ``out``; part numbers rise with doc_id."""
+def write(docs: DataFrame, out: str, tokenizer: str, end: int = 0, metadata: tuple[str, ...] = (), **writer: str) -> None:
+    """Encodes (doc_id, text) and writes SCHEMA and the metadata below ``out``; part numbers rise with doc_id."""
 
     def encode(batches):
         part, at, encoder = TaskContext.get().partitionId(), 0, byte_encoder(tokenizer)
@@ -54,13 +59,17 @@ def write(docs: DataFrame, out: str, tokenizer: str, end: int = 0, **writer: str
                         pa.array(at + offsets[:-1]),
                         pa.array(counts),
                         pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
+                        *(rows.column(2 + i) for i in range(len(metadata))),
                     ],
-                    ["doc_id", "part", "start_in_part", "n_tokens", "ids"],
+                    ["doc_id", "part", "start_in_part", "n_tokens", "ids", *more],
                 )
                 at += int(offsets[-1])
 
-    ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(encode, SCHEMA).write.options(**{**WRITER, **writer}).parquet(out)
+    more = [f"m_{i}" for i in range(len(metadata))]
+    kept = docs.select(F.col("doc_id").cast("long"), "text", *[F.col(f"`{c}`").alias(m) for c, m in zip(metadata, more, strict=True)])
+    schema = ", ".join([SCHEMA, *(f"{m} {kept.schema[m].dataType.simpleString()}" for m in more)])
+    ranged = kept.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ranged.mapInArrow(encode, schema).write.options(**{**WRITER, **writer}).parquet(out)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -73,6 +82,15 @@ def read(spark, path: str) -> DataFrame:
     return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("_before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids")
 
 
+def selected(spark, path: str, ids: list[int] | None = None, metadata: dict[str, str] | None = None, tokens: bool = True) -> DataFrame:
+    """doc_id, n_tokens, the metadata (names to types, in the order they were written) and, if wanted, ids: of all documents
+    or of few ``ids``. The filter reaches the files' statistics, and columns that are not asked for are not read."""
+    names = {f"m_{i}": (c, kind) for i, (c, kind) in enumerate((metadata or {}).items())}
+    rows = spark.read.schema(", ".join([SCHEMA, *(f"{m} {kind}" for m, (_, kind) in names.items())])).parquet(path)
+    rows = rows if ids is None else rows.filter(F.col("doc_id").isin(ids))
+    return rows.select("doc_id", "n_tokens", *[F.col(m).alias(c) for m, (c, _) in names.items()], *(["ids"] if tokens else []))
+
+
 def digests(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of rows of read()."""
 

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from matchengine.llm import kneser_ney, quartile_digest, simhash, suffix_dedup, token_counts, token_store
@@ -247,6 +248,41 @@ def test_token_files_have_page_indexes(spark, sf, tmp_path):
             assert c.has_offset_index and c.has_column_index
 
 
+def test_selective_token_reads(spark, sf, tmp_path):
+    """Few documents and the metadata alone are read without the rest of the files."""
+    import glob
+    import os
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 900000").dropDuplicates(["doc_id"])
+    docs = docs.withColumn("ids", F.lit("own")).withColumn("part", F.col("lang"))
+    out = str(tmp_path / "o")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    token_store.write(docs.coalesce(1), out, path, metadata=("lang", "n_chars", "ids", "part"), **{"parquet.block.size": "20000", "parquet.page.size": "4096", "parquet.page.row.count.limit": "20"})
+    kinds = {"lang": "string", "n_chars": "long", "own": "string", "part": "string"}
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    want = {r.doc_id: ([*t.encode(r.text or "", add_special_tokens=False).ids, 0], r.lang, r.n_chars, "own", r.lang) for r in docs.collect()}
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    few = token_store.selected(spark, out, [3, 77, 150], kinds)
+    got = {r.doc_id: (list(r.ids), r.lang, r.n_chars, r.own, r.part) for r in few.collect()}
+    assert got == {i: want[i] for i in (3, 77, 150)}
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "In(doc_id, [3,77,150])" in plan
+    light = token_store.selected(spark, out, metadata=kinds, tokens=False)
+    assert "ids:array" not in light._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.n_tokens, r.lang) for r in light.collect()} == {(i, len(v[0]), v[1]) for i, v in want.items()}
+    groups = pages = 0
+    import pyarrow.parquet as pq
+
+    for f in glob.glob(f"{out}/*.parquet"):
+        m = pq.ParquetFile(f).metadata
+        groups += m.num_row_groups
+        hit = [g for g in range(m.num_row_groups) if any(m.row_group(g).column(0).statistics.min <= i <= m.row_group(g).column(0).statistics.max for i in (3, 77, 150))]
+        pages += sum(m.row_group(g).num_rows for g in hit)
+        assert os.path.getsize(f) > 0
+    assert groups > 6 and pages < 0.7 * len(want)  # statistics leave whole row groups out
+
+
 def brute_quality(t):
     t = t or ""
     w = WORD.findall(t)
