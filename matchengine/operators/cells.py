@@ -22,6 +22,8 @@ SAMPLE = 20_000  # vectors that cells are fitted on
 MOST_CELLS = 4096  # their centres are sent to every task: 8 MB at 256 dimensions
 QUERIES = 1024  # of a tile
 PRODUCTS = 1 << 22  # of a tile, so that few queries meet more vectors at once
+HELD = 1 << 22  # numbers of a tile's left vectors, 32 MB, that stay while its right ones come by
+COLUMNS = 8  # tiles that a left vector goes to
 
 
 def unit(rows: pa.Array | pa.ChunkedArray, many: int) -> np.ndarray:
@@ -163,28 +165,50 @@ def vector_sets(rows: DataFrame, set_: str, item: str, vector: str, most: int =
 def best_matches(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(a, item, b, similarity): for pairs (a, b) of vector_sets() the largest cosine of each of a's items with any of b's.
 
-    Rows that share a left set lie together, so that one matrix product serves all of their right sets, whose vectors are
-    contiguous; segment maxima part it again."""
-    x = left.select(F.col("set").alias("a"), "items", F.col("v").alias("x"))
-    y = right.select(F.col("set").alias("b"), F.size("items").alias("n"), F.col("v").alias("y"))
-    rows = pairs.select("a", "b").distinct().join(x, "a").join(y, "b").withColumn("_x", F.xxhash64("items"))
-    schema = rows.select("a", F.explode("items").alias("item"), "b").schema.add("similarity", "double")
+    A pair's vectors are dealt to tiles. A task holds a tile's left vectors, ``HELD`` numbers at most, and its right ones
+    come by, a row at a time. A left vector is sent to ``COLUMNS`` tiles at most, a right one to one for every ``HELD``
+    numbers of the left set, so that what is shuffled grows with the sets and not with their product."""
+    x = left.select(F.col("set").alias("a"), "items", F.col("v").alias("v"))
+    y = right.select(F.col("set").alias("b"), F.size("items").alias("n"), F.col("v").alias("v"))
+    tall = x.groupBy("a").agg(F.ceil(F.sum(F.size("v").cast("long")) / HELD).alias("rows"))
+    wide = y.groupBy("b").agg(F.least(F.lit(COLUMNS), F.count("*")).alias("cols"))
+    sizes = pairs.select("a", "b").distinct().join(tall, "a").join(wide, "b")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    key = ["a", "b", "row", "col"]
+    l = x.join(sizes, "a").withColumn("row", of("items", "rows")).withColumn("col", every("cols")).select(*key, F.lit(0).alias("side"), "items", F.size("items").alias("n"), "v")  # noqa: E741
+    r = y.join(sizes, "b").withColumn("col", of("v", "cols")).withColumn("row", every("rows")).select(*key, F.lit(1).alias("side"), F.lit(None).cast(x.schema["items"].dataType).alias("items"), "n", "v")
+    schema = l.select("a", F.explode("items").alias("item"), "b").schema.add("similarity", "double")
 
     def run(batches):
+        key, ends, items, held, top = None, None, [], [], None
+
+        def found():
+            many = pa.array(np.zeros(len(top), np.int64))
+            return pa.RecordBatch.from_arrays([ends[0].take(many), pa.concat_arrays(items), ends[1].take(many), pa.array(top)], ["a", "item", "b", "similarity"])
+
         for b in batches:
-            number = b.column(b.schema.get_field_index("_x")).to_numpy()
-            n = b.column(b.schema.get_field_index("n")).to_numpy()
-            items, xs, ys = (b.column(b.schema.get_field_index(c)) for c in ("items", "x", "y"))
-            cut = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(number))
-            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                own = items[s].values
-                theirs = unit(ys.slice(s, e - s), int(n[s:e].sum()))
-                product = unit(xs.slice(s, 1), len(own)) @ theirs.T
-                top = np.maximum.reduceat(product, np.cumsum(n[s:e]) - n[s:e], axis=1)  # items, right sets
-                row = pa.array(np.repeat(np.arange(s, e), len(own)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.concat_arrays([own] * (e - s)), b.column(1).take(row), pa.array(top.T.ravel())], ["a", "item", "b", "similarity"])
-
-    some = rows.select("a", "b", "_x", "items", "x", "n", "y").repartition("a", "_x").sortWithinPartitions("a", "_x")
+            n, side = b.column(6).to_pylist(), b.column(4).to_pylist()
+            for i, k in enumerate(zip(*(b.column(c).to_pylist() for c in range(4)), strict=True)):
+                if k != key:
+                    if top is not None:
+                        yield found()
+                    key, ends, items, held, top = k, (b.column(0).slice(i, 1), b.column(1).slice(i, 1)), [], [], None
+                v = unit(b.column(7).slice(i, 1), n[i])
+                if side[i] == 0:
+                    items.append(b.column(5)[i].values)
+                    held.append(v)
+                elif held:
+                    if top is None:
+                        held = [np.concatenate(held)]
+                        top = np.full(len(held[0]), -np.inf)
+                    step = max(1, PRODUCTS // n[i])
+                    for at in range(0, len(top), step):
+                        np.maximum(top[at : at + step], (held[0][at : at + step] @ v.T).max(1), out=top[at : at + step])
+        if top is not None:
+            yield found()
+
+    some = l.unionByName(r).repartition(*key).sortWithinPartitions(*key, "side")
     return some.mapInArrow(run, schema).groupBy("a", "item", "b").agg(F.max("similarity").alias("similarity"))
 
 
