@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -119,20 +121,36 @@ def split_keywords(c: Column | str) -> Column:
 
 def clean_lines(c: Column | str) -> Column:
     """Lines after cleaning: line ends unified, words cut by a hyphen joined, white space collapsed, bullets and soft
-    hyphens gone, under two characters dropped, a line like the one before dropped, a long one kept twice at most."""
+    hyphens gone, under two characters dropped, a line like the one before dropped, a long one kept twice at most. Each
+    line is folded once, and counted."""
     t = F.regexp_replace(F.regexp_replace(_col(c), r"\r\n?", "\n"), r"(\w)-\n(\w)", "$1$2")
     t = F.regexp_replace(F.regexp_replace(t, "■", "fi"), "­", "")
-    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, BULLET, ""), r"[ \t ]+", " ")))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("before"))
+    bullet, blanks = re.compile(BULLET, re.ASCII), re.compile(r"[ \t ]+")
+
+    def clean(text: str) -> list[str]:
+        out, before, often = [], "", Counter()
+        for line in text.split("\n"):
+            x = blanks.sub(" ", bullet.sub("", line)).strip(" ")
+            if len(x) < 2:
+                before = ""
+                continue
+            key = folded(x)
+            if key != before and (len(x) <= 20 or often[key] < 2):
+                out.append(x)
+                often[key] += 1
+            before = key
+        return out
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if (t := x.as_py()) is None else clean(t) for x in texts], pa.list_(pa.string()))
+
+    return run(t)
 
-    def step(a: Column, x: Column) -> Column:
-        short, again = F.length(x) < 2, fold(x) == a["before"]
-        often = (F.length(x) > 20) & (F.size(F.filter(a["out"], lambda y: fold(y) == fold(x))) >= 2)
-        return F.struct(
-            F.when(short | again | often, a["out"]).otherwise(F.concat(a["out"], F.array(x))).alias("out"), F.when(short, F.lit("")).otherwise(fold(x)).alias("before")
-        )
 
-    return F.aggregate(lines, start, step, lambda a: a["out"])
+def folded(text: str) -> str:
+    """fold() of a string."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode().lower()
 
 
 def chunks(c: Column | str, size: int = 800, most: int | None = None) -> Column:
