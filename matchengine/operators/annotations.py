@@ -12,6 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchengine.functions.batches import small
 from matchengine.operators.offers import SPANS
 from matchengine.operators.skills import Dictionary
 
@@ -80,7 +81,7 @@ def annotated(docs: DataFrame, known: Dictionary, id_: str = "doc_id", text: str
 
     def run(batches):
         tests, trie = [(label, re.compile(p)) for label, p in given.items()], sent.value
-        for b in batches:
+        for b in small(batches):
             row, out = [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 t = t or ""

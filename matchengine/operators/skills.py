@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import functools
 import itertools
 import math
 import re
@@ -15,9 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchengine.functions.batches import small
 from matchengine.functions.text import fold, replace_words, skill_tokens
 
 MOST_ALIASES = 200_000  # rows of a dictionary that is sent to every task; a larger one is joined by hash
+MOST_WORDS = 1 << 17  # whose resemblance a worker remembers
 MOST_CHARACTERS = 4_000_000  # of its aliases: each is a node of the automaton at most, some 50 bytes
 
 
@@ -100,7 +103,7 @@ def _walked(docs: DataFrame, sent, id_: str, texts: tuple[str, ...]) -> DataFram
 
     def run(batches):
         trie = sent.value
-        for b in batches:
+        for b in small(batches):
             row, out = [], []
             for k, field in enumerate(texts):
                 for i, tokens in enumerate(b.column(k + 1).to_pylist()):
@@ -138,7 +141,7 @@ def with_lists(rows: DataFrame, known: Dictionary, names: dict[str, str], id_: s
 
     def run(batches):
         trie = sent.value
-        for b in batches:
+        for b in small(batches):
             lists = []
             for k in range(len(names)):
                 found = [_best_runs(trie, t) for t in b.column(len(own) + k).to_pylist()]
@@ -155,9 +158,7 @@ def with_whitelist(docs: DataFrame, hits: DataFrame, aliases: DataFrame, whiteli
     terms = docs.sparkSession.createDataFrame([(i, w, w.lower()) for i, w in enumerate(whitelist) if w], "k int, term string, target string")
     wanted = terms.join(normalise(terms.select("term").distinct(), aliases), "term", "left").select("k", "target", F.coalesce("canonical", "term").alias("canonical"))
     plain = docs.select(id_, replace_words(F.col(text), synonyms or {}).alias("_x"), F.size(skill_tokens(text)).alias("_size"))
-    found = _standing(plain, whitelist, id_)
-    near = resembling(found.select("word").filter("word is not null"), terms.select("target"), cutoff).join(terms, "target").select("word", F.col("k").alias("_near"))
-    both = found.join(near, "word", "left").select(id_, "_size", F.coalesce("k", "_near").alias("k"), F.col("k").isNull().cast("int").alias("_pass")).filter("k is not null")
+    both = _listed(plain, whitelist, id_, cutoff)
     first = both.join(F.broadcast(wanted), "k").groupBy(id_, "canonical").agg(F.min(F.struct("_pass", "k", "_size")).alias("_b"))  # the list's rows
     known = hits.select(id_, F.lower("canonical").alias("_c")).distinct()
     new = first.withColumn("_c", F.lower("canonical")).join(known, [id_, "_c"], "left_anti")
@@ -165,20 +166,41 @@ def with_whitelist(docs: DataFrame, hits: DataFrame, aliases: DataFrame, whiteli
     return hits.select(id_, "canonical", "n", "pos").unionByName(new.select(id_, "canonical", F.lit(0).alias("n"), (F.col("_b._size") + place - 1).cast("int").alias("pos")))
 
 
-def _standing(plain: DataFrame, whitelist: list[str], id_: str) -> DataFrame:
-    """(id, _size, k, word) of texts _x: a row for each term of the list that stands in one as words, by its number, and one
-    for each different word, both in one walk."""
+def _listed(plain: DataFrame, whitelist: list[str], id_: str, cutoff: float, least: int = 4) -> DataFrame:
+    """(id, _size, k, _pass) of texts _x: the numbers of the list's terms that stand in one as words, and in pass 1 of those
+    of ``least`` characters and more that one of its words resembles, found by similarity_keys(). Both in one walk: a
+    text's words are not sent on."""
     trie = ahocorasick.Automaton()
     for w in {w.lower() for w in whitelist if w}:
         trie.add_word(w, (len(w), [i for i, x in enumerate(whitelist) if x.lower() == w]))
     trie.make_automaton()
     sent = plain.sparkSession.sparkContext.broadcast(trie if len(trie) else None)
-    schema = T.StructType([plain.schema[id_], T.StructField("_size", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("word", T.StringType())])
+    schema = T.StructType([plain.schema[id_], *(T.StructField(c, T.IntegerType()) for c in ("_size", "k", "_pass"))])
+    targets: dict[str, list[int]] = {}
+    for i, w in enumerate(whitelist):
+        if len(w) >= least:
+            targets.setdefault(w.lower(), []).append(i)
 
     def run(batches):
         trie, word, of_word = sent.value, re.compile(r"[a-z0-9+.#]+"), re.compile(r"[A-Za-z0-9_]")
-        for b in batches:
-            row, ks, words = [], [], []
+        keyed: dict[str, list[str]] = {}
+        for target in targets:
+            for key in similarity_keys(target, cutoff, False):
+                keyed.setdefault(key, []).append(target)
+        matcher = difflib.SequenceMatcher()
+
+        @functools.lru_cache(MOST_WORDS)
+        def near(w: str) -> tuple[int, ...]:
+            out = []
+            for target in {t for key in similarity_keys(w, cutoff, True) for t in keyed.get(key, ())}:
+                matcher.set_seq2(target)
+                matcher.set_seq1(w)
+                if matcher.quick_ratio() >= cutoff and matcher.ratio() >= cutoff:
+                    out += targets[target]
+            return tuple(out)
+
+        for b in small(batches):
+            row, ks, late = [], [], []
             for i, x in enumerate(b.column(1).to_pylist()):
                 x = x or ""
                 inside = lambda at, x=x: 0 <= at < len(x) and of_word.match(x[at]) is not None
@@ -187,12 +209,12 @@ def _standing(plain: DataFrame, whitelist: list[str], id_: str) -> DataFrame:
                     start = end - size + 1
                     if inside(start - 1) != inside(start) and inside(end) != inside(end + 1):
                         stands.update(numbers)
-                own = sorted(set(word.findall(x)))
-                row += [i] * (len(stands) + len(own))
-                ks += [*sorted(stands), *[None] * len(own)]
-                words += [*[None] * len(stands), *own]
+                alike = {k for w in set(word.findall(x)) for k in near(w)}
+                row += [i] * (len(stands) + len(alike))
+                ks += [*sorted(stands), *sorted(alike)]
+                late += [0] * len(stands) + [1] * len(alike)
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(ks, pa.int32()), pa.array(words, pa.string())], [id_, "_size", "k", "word"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(ks, pa.int32()), pa.array(late, pa.int32())], [id_, "_size", "k", "_pass"])
 
     return plain.select(id_, "_x", "_size").mapInArrow(run, schema)
 
@@ -241,7 +263,7 @@ def candidates(words: DataFrame, targets: DataFrame, cutoff: float = 0.8, least:
 
 def _keys(cutoff: float, first: bool, name: str):
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             own = [similarity_keys(w, cutoff, first) for w in b.column(0).to_pylist()]
             index = pa.array(np.repeat(np.arange(len(own)), [len(k) for k in own]), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(index), pa.array([k for ks in own for k in ks], pa.string())], [name, "key"])
@@ -251,7 +273,7 @@ def _keys(cutoff: float, first: bool, name: str):
 
 def _compared(pairs: DataFrame, cutoff: float) -> DataFrame:
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             m, ratio, last = difflib.SequenceMatcher(), [], None
             for word, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if target != last:
