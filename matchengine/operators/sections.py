@@ -20,9 +20,9 @@ def lines(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame
 
 def unspaced(line: Column) -> Column:
     """A heading typed letter by letter, four or more and most of its words, put together."""
-    parts = F.split(F.trim(line), r"\s+")
-    single = F.size(F.filter(parts, lambda p: F.length(p) == 1))
-    return F.when((F.size(parts) >= 4) & (single >= 0.8 * F.size(parts)), F.array_join(parts, "")).otherwise(line)
+    single = lambda parts: F.size(F.filter(parts, lambda p: F.length(p) == 1))
+    put = lambda parts: F.when((F.size(parts) >= 4) & (single(parts) >= 0.8 * F.size(parts)), F.array_join(parts, "")).otherwise(line)
+    return bound(F.split(F.trim(line), r"\s+"), put)
 
 
 def _fits(names: str):
@@ -34,7 +34,10 @@ def section_of(line: Column, sections: dict[str, list[str]] | None = None) -> Co
     beside it but small words, words of the same section and adjectives. Six words at most."""
     table = sections or SECTIONS
     alias = {" ".join(a.replace("-", " ").split()): s for s, v in reversed(list(table.items())) for a in v}
-    form = lambda x: F.trim(F.regexp_replace(F.regexp_replace(fold(F.regexp_replace(unspaced(x), r"\(.*?\)", " ")), r"\s*:\s*$", ""), r"[^a-z0-9]+", " "))
+    plain = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"\s*:\s*$", ""), r"[^a-z0-9]+", " "))
+    form = lambda x: bound(F.regexp_replace(x, r"\(.*?\)", " "), lambda y: plain(fold(y)))
+    # no other line has a section's name
+    some = r"\b(?:" + "|".join(sorted({*alias, "formations?", "diplomes?"})) + r")\b"
     names = F.create_map(*[F.lit(x) for a, s in alias.items() for x in (a, s)])
 
     def told(t: Column) -> Column:
@@ -51,11 +54,15 @@ def section_of(line: Column, sections: dict[str, list[str]] | None = None) -> Co
         both = t.rlike(r"\b(formations?|diplomes?)\b.*\bcertifications?\b")
         return F.when(F.size(F.split(t, " ")) <= 6, F.when(both & whole.isNull(), F.lit("education")).otherwise(whole))
 
-    line = F.when(F.length(line) <= 120, line)  # what is longer heads nothing
     # letter by letter, a possessive runs into the name behind it
-    parted = F.when(unspaced(line) != line, F.regexp_replace(form(line), r"^(mes|ma|mon|nos|notre)(?=[a-z]{4})", ""))
-    heads = F.transform(F.array(form(line), parted), lambda t: F.when(t != "", told(t)))
-    return F.element_at(F.concat(F.filter(heads, lambda x: x.isNotNull()), F.array(F.lit(None).cast("string"))), 1)
+    parted = lambda t: F.regexp_replace(t, r"^(mes|ma|mon|nos|notre)(?=[a-z]{4})", "")
+
+    def heads(x: Column) -> Column:
+        one = lambda t: F.when(t.rlike(some), told(t))
+        plain = lambda u: bound(form(u), lambda t: F.when(u == x, one(t)).otherwise(F.coalesce(one(t), bound(parted(t), one))))
+        return bound(unspaced(x), plain)
+
+    return bound(F.when(F.length(line) <= 120, line), lambda x: F.when(x != "", heads(x)))  # what is longer heads nothing
 
 
 def classed(title: Column, sections: dict[str, list[str]] | None = None) -> Column:
