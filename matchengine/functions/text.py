@@ -94,8 +94,8 @@ def sentences(c: Column | str) -> Column:
 
 def evidence(c: Column | str, keywords: Column | str, most: int = 4) -> Column:
     """The first sentences that hold one of the keywords, folded, anywhere in them."""
-    k = F.transform(_col(keywords), lambda w: fold(w))
-    return F.slice(F.filter(sentences(c), lambda s: F.exists(k, lambda w: F.contains(fold(s), w))), 1, most)
+    told = lambda k: F.filter(sentences(c), lambda s: bound(fold(s), lambda f: F.exists(k, lambda w: F.contains(f, w))))
+    return F.slice(bound(F.transform(_col(keywords), lambda w: fold(w)), told), 1, most)
 
 
 def person_key(c: Column | str) -> Column:

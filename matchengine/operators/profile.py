@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from matchengine.functions import scoring
-from matchengine.functions.text import canonical_tokens, evidence, fold, keyword_lines
+from matchengine.functions.text import bound, canonical_tokens, evidence, fold, keyword_lines
 from matchengine.operators import fields, sections, skills
 
 STRINGS = "array<string>"
@@ -77,7 +77,7 @@ def explanation(common: Column, missing: Column, score_: Column, years: Column,
     """Struct (why, vigilance, evidence): ordered sentences, "aucun" where a list has nothing, eight keywords a line."""
     some = lambda a: F.array_join(F.slice(a, 1, 8), ", ")
     lines = lambda *xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
-    or_none = lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(F.lit("aucun")))
+    or_none = lambda a: bound(a, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("aucun"))))
     why = lines(F.when(F.size(common) > 0, F.concat(F.lit("Compétences communes : "), some(common))), F.when((asked > 0) & (years >= asked), F.format_string("Expérience suffisante : %d ans pour %d demandés", years, asked)), F.when(score_ >= 80, F.lit("Score élevé")))
     care = lines(F.when(F.size(missing) > 0, F.concat(F.lit("Compétences manquantes : "), some(missing))), F.when((asked > 0) & (years < asked), F.format_string("Expérience insuffisante : %d ans pour %d demandés", years, asked)))
     return F.struct(or_none(why).alias("why"), or_none(care).alias("vigilance"), or_none(evidence(text, common)).alias("evidence"))

@@ -85,3 +85,13 @@ def test_best_matches_send_a_set_a_few_times(spark):
     finally:
         type(tiles).mapInArrow = monkey
     assert seen and seen[0] <= (cells.COLUMNS + 1) * n
+
+
+def test_forms_of_a_line_are_computed_once(spark):
+    from matchengine.operators import profile, sections
+
+    d = spark.createDataFrame([("a. b", 1.0, 2)], "t string, s double, y int")
+    plan = lambda c: d.select(c.alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert plan(sections.section_of(F.col("t"))).count(r"\(.*?\)") == 1
+    words = F.split("t", " ")
+    assert plan(profile.explanation(words, words, F.col("s"), F.col("y"), F.col("y"), F.col("t"))).count("•") == 1
