@@ -215,12 +215,19 @@ def j_offer_text(spark, d):
     return table(spark, d, "part").select("p_partkey", profile.offer_text(F.col("p_name"), F.col("p_brand"), F.split("p_name", " "), F.lit(None).cast("array<string>"), F.lit(" ")).alias("offer"))
 
 
+def spoken(conversations, roles):
+    """(id, text) of each conversation and role, dealt to a set number of tasks: left to itself, Spark joins the tasks of a
+    shuffle by bytes, and profiles take far more time a byte than it reckons with."""
+    parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turns = conversations.filter(F.col("role").isin(*roles)).repartition(parts, "conv_id", "role")
+    whole = turns.groupBy("conv_id", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    return whole.select(F.struct("conv_id", "role").alias("id"), "text")
+
+
 @query("j_profile_pairs")
 def j_profile_pairs(spark, d):
     """Each conversation's user turns as a CV against its assistant turns as an offer: profiles, then scores."""
-    c = table(spark, d, "conversations")
-    whole = c.groupBy("conv_id", "role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    every = profile.profiles(whole.filter("role in ('user', 'assistant')").withColumn("id", F.struct("conv_id", "role")), aliases(spark), 2025, "id")
+    every = profile.profiles(spoken(table(spark, d, "conversations"), ["user", "assistant"]), aliases(spark), 2025, "id")
     side = lambda r: F.first(F.when(F.col("id.role") == r, F.col("p")), ignorenulls=True)
     both = every.select("id", F.struct("*").alias("p")).groupBy("id.conv_id").agg(side("user").alias("cv"), side("assistant").alias("job")).filter("cv is not null and job is not null")
     return profile.score(both).select("conv_id", "score", F.array_join("common_skills", ",").alias("common"), F.array_join("low_confidence", ",").alias("low"))

@@ -1,0 +1,13 @@
+"""Profiles of conversations are not made by one task, however few bytes their texts have."""
+
+from pyspark.sql import functions as F
+
+from matchengine.plans.scores import spoken
+
+
+def test_texts_stay_dealt_to_many_tasks(spark):
+    rows = [(i, t, "user" if t % 2 else "assistant", f"{i} {t}") for i in range(40) for t in range(4)] + [(1, 9, "system", "x"), (2, 9, "user", None)]
+    got = spoken(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1), ["user", "assistant"]).withColumn("task", F.spark_partition_id()).collect()
+    want = {(i, r): f"{i} {a}\n{i} {b}" for i in range(40) for r, a, b in (("assistant", 0, 2), ("user", 1, 3))}
+    assert {(r.id.conv_id, r.id.role): r.text for r in got} == want and len(got) == 80
+    assert len({r.task for r in got}) >= 4
